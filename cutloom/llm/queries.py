@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, embdedup, langid, packing, topk
+from cutloom.llm import bpe, embdedup, langid, licenses, packing, topk
 from cutloom.llm.common import table
 
 
@@ -87,11 +87,47 @@ FROM c LEFT JOIN n USING (vec_id)
 """
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _licenses_sql() -> str:
+    """Brute force: every line against every template."""
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
+    lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    words = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"""
+WITH t(label, words) AS (VALUES {templates}), p(words, label) AS (VALUES {phrases}),
+d AS (SELECT doc_id, row_number() OVER () AS k, {lower} AS text FROM documents),
+w AS (SELECT doc_id, k, text, {words.format("text")} AS words FROM d),
+b AS (
+  SELECT k, label, i FROM (SELECT k, words AS dw, unnest(range(len(words))) AS i FROM w), p
+  WHERE dw[i + 1] = p.words[1] AND dw[i + 1 : i + len(p.words)] = p.words
+),
+bb AS (
+  SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY k
+),
+l AS (SELECT k, {words.format("line")} AS words FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM w)),
+m AS (
+  SELECT k, list(DISTINCT label) AS labels, max(part) AS part FROM (
+    SELECT l.k, t.label, len(list_intersect(t.words, l.words)) / len(t.words) AS part FROM l, t
+  ) WHERE part >= 0.8 GROUP BY k
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(bb.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(bb.labels, m.labels))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0) END AS score
+FROM w LEFT JOIN bb USING (k) LEFT JOIN m USING (k)
+"""
+
+
 QUERIES = {
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
     "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_licenses": op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op8_embedding_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op8_embedding_dedup": OP8_SQL, "op10_licenses": _licenses_sql()}
