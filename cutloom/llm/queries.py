@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, embdedup, langid, licenses, packing, topk
+from cutloom.llm import bpe, embdedup, langid, licenses, packing, pii, topk
 from cutloom.llm.common import table
 
 
@@ -26,6 +26,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[_count("base", k).alias(f"n_{k}") for k in pii.PATTERNS],
+        F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+        pii.listed("spans").alias("spans"),
+    )
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -123,6 +137,7 @@ FROM w LEFT JOIN bb USING (k) LEFT JOIN m USING (k)
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
     "op4_langid": op4_langid,
