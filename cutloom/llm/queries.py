@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, embdedup, langid, licenses, packing, pii, topk
+from cutloom.llm import bpe, embdedup, langid, licenses, lines, packing, pii, topk
 from cutloom.llm.common import table
 
 
@@ -74,6 +74,38 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+a AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+b AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13)) <> '' AS filled FROM a),
+c AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM b WHERE filled),
+p AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS line2,
+    length(trim(line)) - length(replace(trim(line), ' ', '')) >= 3 AS alone FROM c
+),
+q AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) > 1 AS again,
+    line2 IS NOT NULL AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, n) > 1 AS again2 FROM p
+),
+g AS (SELECT *, (again AND alone) OR again2 OR coalesce(lag(again2) OVER (PARTITION BY doc_id ORDER BY n), false) AS gone FROM q),
+h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM g),
+s AS (
+  SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_removed, count_if(begins) AS n_runs, list(i) FILTER (WHERE gone) AS cut FROM h GROUP BY doc_id
+),
+t AS (
+  SELECT b.doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM b JOIN s ON b.doc_id = s.doc_id
+  WHERE cut IS NOT NULL AND NOT list_contains(cut, i) GROUP BY b.doc_id
+)
+SELECT d.doc_id, CASE WHEN cut IS NULL THEN d.text WHEN n_removed = n_lines THEN '' ELSE t.text END AS text,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -142,7 +174,8 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op10_licenses": op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op8_embedding_dedup": OP8_SQL, "op10_licenses": _licenses_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_licenses": _licenses_sql()}
