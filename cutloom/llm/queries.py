@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, embdedup, langid, licenses, lines, packing, pii, topk
+from cutloom.llm import bpe, embdedup, langid, licenses, lines, ngramjoin, packing, pii, topk
 from cutloom.llm.common import table
 
 
@@ -133,6 +133,10 @@ FROM c LEFT JOIN n USING (vec_id)
 """
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -176,6 +180,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_licenses": op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_licenses": _licenses_sql()}
