@@ -12,6 +12,8 @@ sequences, which need no padding.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from cutloom.llm.common import written
 
 #: Chunks kept per Python worker; a full table starts anew, results don't change.
-KEPT = 500_000
+KEPT = 700_000
 #: Partitions whose open windows are merged together.
 NEIGHBOURS = 16
 
@@ -44,20 +46,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.simple = re.compile("[A-Za-z\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde.,;:!?]+").fullmatch
+
+    def _plain(self, chunk: str) -> tuple[str, str]:
+        """What a chunk's ids depend on: its lower case, and the mark after its last letter apart."""
+        if not self.simple(chunk):
+            return chunk, ""
+        low = chunk.lower()
+        return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,;:!?" and low[-2].isalpha() else (low, "")
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [x for x in dict.fromkeys(x for s in split for x in s) if x not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(dict.fromkeys(x for s in split for x in s))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        wanted = set().union(*split)
+        known, stems = self.known, self.stems
+        new = wanted.difference(known)
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = wanted
+        if len(stems) > KEPT:
+            stems.clear()
+        parts = {x: self._plain(x) for x in new}
+        missing = [x for x in {y for p in parts.values() for y in p} if x and x not in stems]
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
+                stems[x] = array("I", e.ids).tobytes()
+        stems[""] = b""
+        for x, (stem, mark) in parts.items():
+            known[x] = stems[stem] + stems[mark]
         for s in split:
-            yield b"".join(map(self.known.__getitem__, s))
+            yield b"".join([known[x] for x in s])
 
 
 def encoder(path: str) -> Encoder:
