@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, embdedup, langid, licenses, lines, ngramjoin, packing, pii, topk
+from cutloom.llm import bpe, embdedup, langid, licenses, lines, ngramjoin, packing, passages, pii, topk
 from cutloom.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -178,6 +182,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
+    "op6_passages": op6_passages,
     "op7_line_dedup": op7_line_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_ngram_join": op9_ngram_join,
