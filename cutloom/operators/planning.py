@@ -105,3 +105,112 @@ def fit_to_length(units: DataFrame, target_ms: int, tolerance_pct: int = 9) -> D
         return pdf.assign(kept=keep)[["plan_id", "unit", "kept"]]
 
     return units.select("plan_id", "unit", "dur_ms", "prio").groupBy("plan_id").applyInPandas(fold, "plan_id bigint, unit bigint, kept boolean")
+
+
+def passages(segments: DataFrame, target_ms: int, pause_ms: int = 120, mark: str = r"[.!?]\W*$") -> DataFrame:
+    """Passages of one speaker about as long as the target, clean at both ends: media_id, from_id, to_id, dur_ms.
+
+    They begin after a pause with a capital and end with a mark before a pause.
+    Of equal starts, then of equal ends, the nearest to the target stays.  Pairs
+    are joined within a speaker's run and the length allowed, never all.
+    """
+    from cutloom.operators import intervals
+
+    low, high = target_ms * 60 // 100, target_ms * 125 // 100
+    w = W.partitionBy("media_id").orderBy("seg_id")
+    gap = F.col("start_ms") - F.lag("end_ms").over(w)
+    after = F.lead("start_ms").over(w) - F.col("end_ms")
+    new = F.when(F.col("speaker").eqNullSafe(F.lag("speaker").over(w)), 0).otherwise(1)
+    s = segments.withColumns({"_g": gap, "_a": after, "_n": new}).withColumn("run", F.sum("_n").over(w))
+    starts = s.filter((F.trim("text") != "") & ~F.col("text").rlike(r"^\s*\p{Ll}") & (F.col("_g").isNull() | (F.col("_g") >= pause_ms)))
+    ends = s.filter(F.col("text").rlike(mark) & ~F.col("text").rlike(r"(\.\.\.|…)\W*$") & (F.col("_a").isNull() | (F.col("_a") >= pause_ms)))
+    a = starts.select("media_id", "run", F.col("seg_id").alias("from_id"), F.col("start_ms").alias("_s"), (F.col("start_ms") + low).alias("_lo"), (F.col("start_ms") + high).alias("_hi"))
+    b = ends.select("media_id", "run", F.col("seg_id").alias("to_id"), F.col("end_ms").alias("_e"))
+    met = intervals.overlap_join(a, b, ["media_id", "run"], "_lo", "_hi", "_e", "_e").filter("to_id >= from_id").withColumn("dur_ms", F.col("_e") - F.col("_s"))
+    off = F.abs(F.col("dur_ms") - target_ms)
+    one = met.withColumn("_r", F.row_number().over(W.partitionBy("media_id", "from_id").orderBy(off, "to_id"))).filter("_r = 1")
+    two = one.withColumn("_r", F.row_number().over(W.partitionBy("media_id", "to_id").orderBy(off, "from_id"))).filter("_r = 1")
+    return two.select("media_id", "from_id", "to_id", "dur_ms")
+
+
+def without_shouts(units: DataFrame, least: int = 4) -> DataFrame:
+    """Units (plan_id, unit, text) without shouts and scraps, if enough are left."""
+    n = F.size(F.split(F.trim("text"), r"\s+"))
+    shout = F.contains(F.col("text"), F.lit("!")) & (n <= 10) | (n <= 6)
+    left = F.count_if(~shout).over(W.partitionBy("plan_id"))
+    return units.withColumn("_k", ~shout | (left < least)).filter("_k").drop("_k")
+
+
+def short_units(units: DataFrame, target_ms: int, most_ms: int = 8000) -> DataFrame:
+    """Only units (plan_id, unit, dur_ms) up to ``most_ms``, where they alone reach twice the target."""
+    short = F.col("dur_ms") <= most_ms
+    total = F.coalesce(F.sum(F.when(short, F.col("dur_ms"))).over(W.partitionBy("plan_id")), F.lit(0))
+    return units.withColumn("_k", short | (total < 2 * target_ms)).filter("_k").drop("_k")
+
+
+def guarded_verdicts(verdicts: DataFrame, least: int = 5, share_pct: int = 90) -> DataFrame:
+    """Verdicts (batch, id, off_topic) with a batch's off-topic labels dropped if nearly all have them."""
+    w = W.partitionBy("batch")
+    absurd = (F.count("*").over(w) >= least) & (F.count_if("off_topic").over(w) * 100 >= share_pct * F.count("*").over(w))
+    return verdicts.withColumn("off_topic", F.col("off_topic") & ~absurd)
+
+
+def translation_check(pairs: DataFrame) -> DataFrame:
+    """Translations (id, src, out): id, verdict: rejected (much too long, or alternatives), untranslated, or ok."""
+    from cutloom.functions import text as X
+
+    bad = (F.char_length("out") > 3 * F.char_length("src") + 25) | F.contains(F.col("out"), F.lit(" / "))
+    same = (F.array_join(X.tokens(F.col("src")), " ") == F.array_join(X.tokens(F.col("out")), " ")) & F.col("src").rlike(r"\p{L}{3}")
+    passes = ~F.col("src").rlike(r"\p{L}{2}")
+    return pairs.select("id", F.when(passes, "ok").when(bad, "rejected").when(same, "untranslated").otherwise("ok").alias("verdict"))
+
+
+def topic_seconds(units: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per plan and topic what is chosen and what is left: plan_id, topic, chosen_ms, left_n, left_ms, shortest_left_ms."""
+    u = units.join(chosen.select("plan_id", "unit", F.lit(True).alias("_c")), ["plan_id", "unit"], "left")
+    in_, out = F.col("_c"), F.col("_c").isNull()
+    return u.groupBy("plan_id", "topic").agg(
+        F.coalesce(F.sum(F.when(in_, F.col("dur_ms"))), F.lit(0)).alias("chosen_ms"), F.count_if(out).alias("left_n"),
+        F.coalesce(F.sum(F.when(out, F.col("dur_ms"))), F.lit(0)).alias("left_ms"), F.min(F.when(out, F.col("dur_ms"))).alias("shortest_left_ms"),
+    )
+
+
+def assigned_shots(sentences: DataFrame, candidates: DataFrame, seconds_a_shot: int = 5) -> DataFrame:
+    """Shots for a voice-over's sentences: job_id, ord, place, shot.
+
+    A sentence (job_id, ord, dur_ms) wants one to four shots; the least used of
+    its candidates (job_id, ord, shot, rank) comes first, none twice in a row.
+    Use so far decides, so a job is a fold.
+    """
+    import pandas as pd
+
+    want = F.greatest(F.lit(1), F.least(F.lit(4), F.bround(F.col("dur_ms") / (1000 * seconds_a_shot)).cast("int")))
+    shots = candidates.groupBy("job_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shot"))), lambda x: x["shot"]).alias("shots"))
+    rows = sentences.join(shots, ["job_id", "ord"]).select("job_id", "ord", want.alias("want"), "shots")
+
+    def fold(key, pdf):
+        used, last, out = {}, None, []
+        for r in pdf.sort_values("ord").itertuples():
+            for place in range(1, r.want + 1):
+                free = [s for s in r.shots if s != last] or list(r.shots)
+                last = min(free, key=lambda s: used.get(s, 0))
+                used[last] = used.get(last, 0) + 1
+                out.append((key[0], r.ord, place, last))
+        return pd.DataFrame(out, columns=["job_id", "ord", "place", "shot"])
+
+    return rows.groupBy("job_id").applyInPandas(fold, "job_id bigint, ord bigint, place bigint, shot bigint")
+
+
+def spread(candidates: DataFrame, most: int = 12) -> DataFrame:
+    """Teaser candidates (plan_id, cand_no, a, b, score10), the best first, none overlapping one taken before: plan_id, cand_no, place."""
+    import pandas as pd
+
+    def fold(key, pdf):
+        taken, out = [], []
+        for r in pdf.sort_values(["score10", "a", "cand_no"], ascending=[False, True, True]).itertuples():
+            if len(out) < most and all(r.b < a or r.a > b for a, b in taken):
+                taken.append((r.a, r.b))
+                out.append((key[0], r.cand_no, len(out) + 1))
+        return pd.DataFrame(out, columns=["plan_id", "cand_no", "place"])
+
+    return candidates.select("plan_id", "cand_no", "a", "b", "score10").groupBy("plan_id").applyInPandas(fold, "plan_id bigint, cand_no bigint, place bigint")

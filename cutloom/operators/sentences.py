@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,8 +82,6 @@ def merge_in_order(ranges: DataFrame, gap_ms: int = 400) -> DataFrame:
     """
 
     def fold(key, pdf):
-        import pandas as pd
-
         out = []
         for r in pdf.sort_values("ord").itertuples():
             if out and r.in_ms >= out[-1][2] and r.in_ms - out[-1][3] <= gap_ms:
@@ -199,8 +198,6 @@ def group_words(words: DataFrame, max_ms: int = 20_000, gap_ms: int = 900, least
     import re
 
     def fold(key, pdf):
-        import pandas as pd
-
         rows = list(pdf.sort_values(["s_ms", "e_ms"])[["w", "s_ms", "e_ms", "spk"]].itertuples(index=False))
         out, cur = [], []
 
@@ -221,3 +218,94 @@ def group_words(words: DataFrame, max_ms: int = 20_000, gap_ms: int = 900, least
 
     schema = "media_id bigint, seg_id bigint, start_ms bigint, end_ms bigint, text string, speaker string, n_words bigint"
     return words.select("media_id", "w", "s_ms", "e_ms", "spk").groupBy("media_id").applyInPandas(fold, schema)
+
+
+def weak_sentences(segments: DataFrame, fillers: list[str], soft: list[str], near_ms: int = 45_000, gap_ms: int = 1200) -> DataFrame:
+    """Sentences worth leaving out: media_id, seg_id, reasons (sorted, comma-joined).
+
+    Empty; mostly fillers; a repeated attempt (its first words are much like
+    those of one of the next three sentences, soon after); unfinished before a
+    pause.  Only the likeness of word lists is Python, in vectors.
+    """
+    from cutloom.functions import text as X
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        def one(x, y):
+            if x is None or y is None:
+                return False
+            n = min(len(x), len(y), 8)
+            return n >= 3 and SequenceMatcher(None, list(x[:n]), list(y[:n])).ratio() >= 0.7
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    w = W.partitionBy("media_id").orderBy("seg_id")
+    s = segments.withColumn("_w", X.tokens(F.col("text")))
+    for k in (1, 2, 3):
+        close = F.lead("start_ms", k).over(w) - F.col("end_ms") <= near_ms
+        s = s.withColumn(f"_n{k}", F.when(close, F.lead("_w", k).over(w)))
+    n = F.size("_w")
+    hard, both = F.size(F.filter("_w", lambda x: x.isin(fillers))), F.size(F.filter("_w", lambda x: x.isin([*fillers, *soft])))
+    filler = (n > 0) & ((hard * 4 > n) | (n <= 3) & (both == n))
+    again = (n > 0) & (alike("_w", "_n1") | alike("_w", "_n2") | alike("_w", "_n3"))
+    open_ = (n > 0) & ~X.ends_sentence(F.col("text")) & (F.lead("start_ms").over(w) - F.col("end_ms") > gap_ms)
+    found = {"empty": n == 0, "filler": filler, "repeated": again, "unfinished": open_}
+    s = s.withColumn("reasons", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in found.items()])), ","))
+    return s.filter("reasons <> ''").select("media_id", "seg_id", "reasons")
+
+
+def covering_chapters(chapters: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Chapters (media_id, c_from, c_to) made to cover their recording (media_id, first, last) without gaps or overlaps.
+
+    Swapped bounds are turned, then clipped, then each begins right after the
+    one before; what vanishes goes.  A chapter's beginning depends on the
+    repaired end before it, which is the original end, so a lag is enough.
+    """
+    a, b = F.least("c_from", "c_to"), F.greatest("c_from", "c_to")
+    c = bounds.join(chapters, "media_id", "left").select("media_id", "first", "last", F.greatest(a, "first").alias("a"), F.least(b, "last").alias("b"))
+    whole = c.groupBy("media_id", "first", "last").agg(F.count_if(F.col("a") <= F.col("b")).alias("_n")).filter("_n = 0").select("media_id", F.col("first").alias("c_from"), F.col("last").alias("c_to"))
+    c = c.filter("a <= b")
+    w = W.partitionBy("media_id").orderBy("a", "b")
+    c = c.withColumn("c_from", F.coalesce(F.lag("b").over(w) + 1, "first")).filter(F.col("c_from") <= F.col("b"))
+    c = c.withColumn("c_to", F.when(F.lead("a").over(w).isNull(), F.col("last")).otherwise(F.col("b")))
+    return c.select("media_id", "c_from", "c_to").unionByName(whole)
+
+
+def without_overlaps(words: DataFrame, slack_ms: int = 50) -> DataFrame:
+    """Words (media_id, s_ms, e_ms, w) that don't begin before the kept ones end; what counts is kept words only, so it is a fold."""
+
+    def fold(pdf):
+        reach, keep = None, []
+        pdf = pdf.sort_values(["s_ms", "e_ms"])
+        for s, e in zip(pdf.s_ms.tolist(), pdf.e_ms.tolist(), strict=True):
+            ok = reach is None or s >= reach - slack_ms
+            reach = max(reach or 0, e) if ok else reach
+            keep.append(ok)
+        return pdf[keep]
+
+    return words.select("media_id", "s_ms", "e_ms", "w").groupBy("media_id").applyInPandas(fold, "media_id bigint, s_ms bigint, e_ms bigint, w string")
+
+
+def false_start(words: str = "words"):
+    """Index of the good attempt in an array of words: one of the first four ends with dots and the next repeats an earlier one; else 0."""
+    base = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
+    last = F.least(F.lit(4), F.size(words) - 2)
+    tries = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    good = F.filter(tries, lambda k: F.element_at(words, k + 1).rlike(r"(\.\.\.|…)$") & F.array_contains(F.slice(base, 1, k + 1), F.element_at(base, k + 2)))
+    return F.coalesce(F.get(good, F.lit(0)) + 1, F.lit(0))
+
+
+def junk_words(words: DataFrame, phrases: list[str]) -> DataFrame:
+    """Words without tokens that hold no letter or digit, and without sentences that are known inventions."""
+    from cutloom.functions import text as X
+
+    real = words.filter(F.col("w").rlike(r"[\p{L}\p{N}]"))
+    bad = segments_text(real).filter(F.array_join(X.tokens(F.col("text")), " ").isin(phrases)).select("media_id", "seg_id")
+    return real.join(bad, ["media_id", "seg_id"], "left_anti")
+
+
+def segments_text(words: DataFrame) -> DataFrame:
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
+    return words.groupBy("media_id", "seg_id").agg(text.alias("text"))
