@@ -162,3 +162,86 @@ def place(points: DataFrame, items: DataFrame, slack_ms: int = 20) -> DataFrame:
     ok = met.filter((F.col("t_ms") >= F.col("in_ms") - slack_ms) & (F.col("t_ms") < F.col("out_ms")))
     at = F.col("start_ms") + F.col("t_ms") - F.col("in_ms")
     return ok.groupBy("media_id", "t_ms", "seq_id").agg(F.min_by(at, F.col("clip_ix")).alias("at_ms"))
+
+
+def sync(clips: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Clips (path) with their offset (path, offset_ms, confidence_pct); none is 0; a warning below 1.5."""
+    o = offsets.select(F.lower("path").alias("_p"), F.col("offset_ms").alias("_o"), "confidence_pct")
+    j = clips.join(o, F.lower("path") == F.col("_p"), "left")
+    return j.withColumn("offset_ms", F.coalesce("_o", F.lit(0))).withColumn("warn", F.coalesce(F.col("confidence_pct") < 150, F.lit(False))).drop("_p", "_o", "confidence_pct")
+
+
+def verified_cameras(clips: DataFrame, offsets: DataFrame, most_ms: int = 50) -> DataFrame:
+    """Camera clips with gap to the clip before, error of the source in, and whether one is a fault: seq_id, clip_ix, gap_ms, error_ms, fault."""
+    c = clips.join(offsets.select("media_id", "offset_ms"), "media_id")
+    gap = F.col("start_ms") - F.lag("end_ms", 1, 0).over(W.partitionBy("seq_id").orderBy("start_ms", "clip_ix"))
+    error = F.abs(F.col("in_ms") - (F.col("start_ms") - F.col("offset_ms")))
+    return c.select("seq_id", "clip_ix", gap.alias("gap_ms"), error.alias("error_ms")).withColumn("fault", (F.col("error_ms") > most_ms) | (F.abs("gap_ms") > 1))
+
+
+def overridden(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """Items (seq_id, clip_ix, start_ms, end_ms, in_ms) with spans of other material (seq_id, o_start, o_end, o_in) laid over: the rest of each and the spans."""
+    parts = intervals.subtract(items.select("seq_id", "clip_ix", "start_ms", "end_ms", "in_ms"), spans, ["seq_id"], "start_ms", "end_ms", "o_start", "o_end")
+    rest = parts.select("seq_id", "clip_ix", F.col("part_start").alias("start_ms"), F.col("part_end").alias("end_ms"), (F.col("in_ms") + F.col("part_start") - F.col("start_ms")).alias("in_ms"))
+    new = spans.select("seq_id", F.lit(None).cast("bigint").alias("clip_ix"), F.col("o_start").alias("start_ms"), F.col("o_end").alias("end_ms"), F.col("o_in").alias("in_ms"))
+    return rest.unionByName(new)
+
+
+def split_at_word(items: DataFrame, words: DataFrame, prefix: str, after_ms: int, kind: str, least_ms: int = 500) -> DataFrame:
+    """Items (media_id, item, a_ms, b_ms, kind) cut at the first word with a prefix after a time; later ones get another kind."""
+    at = words.filter((F.col("s_ms") >= after_ms) & F.startswith(F.lower("w"), F.lit(prefix))).groupBy("media_id").agg(F.min("s_ms").alias("_t"))
+    j = items.join(at, "media_id", "left")
+    crossing = (F.col("a_ms") < F.col("_t")) & (F.col("b_ms") - F.col("_t") > least_ms)
+    head = F.struct(F.col("a_ms").alias("a"), F.col("_t").alias("b"), F.col("kind").alias("k"))
+    tail = F.struct(F.col("_t").alias("a"), F.col("b_ms").alias("b"), F.lit(kind).alias("k"))
+    whole = F.struct(F.col("a_ms").alias("a"), F.col("b_ms").alias("b"), F.when(F.col("a_ms") >= F.col("_t"), F.lit(kind)).otherwise(F.col("kind")).alias("k"))
+    parts = F.when(crossing, F.array(head, tail)).otherwise(F.array(whole))
+    return j.select("media_id", "item", F.explode(parts).alias("x")).select("media_id", "item", F.col("x.a").alias("a_ms"), F.col("x.b").alias("b_ms"), F.col("x.k").alias("kind"))
+
+
+def narration_sources(clips: DataFrame, narration: DataFrame) -> DataFrame:
+    """Every source ever used under a narration: narration media, source."""
+    n = narration.select("seq_id", F.col("media_id").alias("narration"))
+    return clips.filter("kind = 'video'").join(n, "seq_id").select("narration", F.col("media_id").alias("source")).distinct()
+
+
+def picture_cuts(clips: DataFrame, scenes: DataFrame, least_ms: int = 800, edge_ms: int = 120, apart_ms: int = 200) -> DataFrame:
+    """Scene changes (media_id, t_ms) in enabled video clips, in timeline time, none next to one kept before: seq_id, at_ms.
+
+    Which are kept depends on those kept, so the last step is a fold over a timeline's few cuts.
+    """
+    import pandas as pd
+
+    c = clips.filter((F.col("kind") == "video") & ~F.col("disabled") & (F.col("end_ms") - F.col("start_ms") >= least_ms)).select("seq_id", "clip_ix", "media_id", "start_ms", "end_ms", "in_ms", "out_ms")
+    met = intervals.overlap_join(scenes.select("media_id", "t_ms"), c, ["media_id"], "t_ms", "t_ms", "in_ms", "out_ms")
+    t = F.col("t_ms") - F.col("in_ms")
+    near = met.filter((t >= edge_ms) & (t <= F.col("end_ms") - F.col("start_ms") - edge_ms)).select("seq_id", "clip_ix", (F.col("start_ms") + t).alias("at_ms"))
+
+    def fold(key, pdf):
+        kept: list[int] = []
+        for x in pdf.sort_values(["clip_ix", "at_ms"]).at_ms.tolist():
+            if not any(abs(x - y) < apart_ms for y in kept):
+                kept.append(x)
+        return pd.DataFrame([(key[0], x) for x in sorted(kept)], columns=["seq_id", "at_ms"])
+
+    return near.groupBy("seq_id").applyInPandas(fold, "seq_id bigint, at_ms bigint")
+
+
+def edit_quality(used: DataFrame, segments: DataFrame, moderators: DataFrame, keyword: str) -> DataFrame:
+    """How good an edit is (used: seq_id, media_id, seg_id): seq_id, sentences, by_moderator, fragments, unfinished, on_topic."""
+    from cutloom.functions import text as X
+
+    w = W.partitionBy("media_id").orderBy("seg_id")
+    low = X.starts_lower(F.col("text"))
+    s = segments.withColumn("_low", low).withColumns({"_prev": F.lag("seg_id").over(w), "_next": F.lead("seg_id").over(w), "_nlow": F.lead("_low").over(w), "_nspk": F.lead("speaker").over(w)})
+    s = s.join(moderators.select("media_id", "speaker", F.lit(True).alias("_mod")), ["media_id", "speaker"], "left")
+    u = used.join(s, ["media_id", "seg_id"])
+    have = used.select("seq_id", "media_id", F.col("seg_id").alias("_id"), F.lit(True).alias("_h")).distinct()
+    u = u.join(have.withColumnsRenamed({"_id": "_prev", "_h": "_hp"}), ["seq_id", "media_id", "_prev"], "left")
+    u = u.join(have.withColumnsRenamed({"_id": "_next", "_h": "_hn"}), ["seq_id", "media_id", "_next"], "left")
+    cut = F.col("_nlow") & F.col("speaker").eqNullSafe(F.col("_nspk")) & F.col("_hn").isNull()
+    topic = F.contains(X.normal(F.col("text")), F.lit(keyword))
+    return u.groupBy("seq_id").agg(
+        F.count("*").alias("sentences"), F.count_if(F.coalesce("_mod", F.lit(False))).alias("by_moderator"), F.count_if(F.col("_low") & F.col("_hp").isNull()).alias("fragments"),
+        F.count_if(cut).alias("unfinished"), F.count_if(topic).alias("on_topic"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cutloom.functions import text as X
-from cutloom.operators import planning, sentences, speakers
+from cutloom.operators import planning, sentences, speakers, timeline
 from cutloom.plans.registry import Tables, query
 from cutloom.sources import files
 
@@ -194,3 +194,83 @@ def w10(t: Tables) -> DataFrame:
     mics = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m")
     lv = t.words.select("media_id", "s_ms", "pos", mics).select("media_id", "s_ms", F.concat(F.lit("mic"), "m").alias("mic"), (100.0 + (F.col("pos") * 31 + F.col("m") * 47) % 90).alias("rms"))
     return speakers.loudest_microphone(lv)
+
+
+
+
+@query("j17_sync", "SELECT source AS path, doc_id, CASE source WHEN 'src1' THEN 1200 WHEN 'src2' THEN -40 ELSE 0 END AS offset_ms, source = 'src2' AS warn FROM documents", base=False)
+def j17(t: Tables) -> DataFrame:
+    o = t.spark.createDataFrame([("SRC1", 1200, 300), ("src2", -40, 120)], "path string, offset_ms bigint, confidence_pct int")
+    return timeline.sync(t.documents.select(F.col("source").alias("path"), "doc_id"), o)
+
+
+@query("t08_verified_cameras", """, v AS (SELECT *, start_ms - lag(end_ms, 1, 0) OVER (PARTITION BY seq_id ORDER BY start_ms, clip_ix) AS gap_ms, abs(in_ms - (start_ms - (media_id % 3 * 100 - 500))) AS error_ms FROM clips)
+SELECT seq_id, clip_ix, gap_ms, error_ms, error_ms > 50 OR abs(gap_ms) > 1 AS fault FROM v""")
+def t08(t: Tables) -> DataFrame:
+    o = t.segments.select("media_id").distinct().withColumn("offset_ms", F.col("media_id") % 3 * 100 - 500)
+    return timeline.verified_cameras(t.clips, o)
+
+
+@query("t07_overridden", """, ov AS (SELECT media_id AS seq_id, t_ms AS o_start, t_ms + 600 AS o_end, t_ms * 2 AS o_in FROM cuts WHERE (t_ms // 100) % 4 = 0),
+hb AS (SELECT seq_id, clip_ix, start_ms AS b FROM clips UNION SELECT c.seq_id, clip_ix, o_end FROM clips c JOIN ov ON c.seq_id = ov.seq_id AND o_end > start_ms AND o_end < end_ms),
+hp AS (SELECT b.seq_id, b.clip_ix, b, in_ms, start_ms, coalesce((SELECT min(o_start) FROM ov WHERE ov.seq_id = b.seq_id AND o_end > b AND o_start < end_ms), end_ms) AS e FROM hb b JOIN clips c ON b.seq_id = c.seq_id AND b.clip_ix = c.clip_ix)
+SELECT seq_id, clip_ix, b AS start_ms, e AS end_ms, in_ms + b - start_ms AS in_ms FROM hp WHERE e > b UNION ALL SELECT seq_id, NULL, o_start, o_end, o_in FROM ov""")
+def t07(t: Tables) -> DataFrame:
+    c = t.cuts.filter("floor(t_ms / 100) % 4 = 0")
+    return timeline.overridden(t.clips, c.select(F.col("media_id").alias("seq_id"), F.col("t_ms").alias("o_start"), (F.col("t_ms") + 600).alias("o_end"), (F.col("t_ms") * 2).alias("o_in")))
+
+
+@query("t09_split_at_word", """, fw AS (SELECT media_id, min(s_ms) AS t FROM words WHERE s_ms >= 2000 AND starts_with(lower(w), 'th') GROUP BY media_id), j AS (SELECT s.*, t FROM segments s LEFT JOIN fw ON s.media_id = fw.media_id)
+SELECT media_id, seg_id AS item, start_ms AS a_ms, t AS b_ms, 'cam' AS kind FROM j WHERE start_ms < t AND end_ms - t > 500 UNION ALL SELECT media_id, seg_id, t, end_ms, 'guest' FROM j WHERE start_ms < t AND end_ms - t > 500
+UNION ALL SELECT media_id, seg_id, start_ms, end_ms, CASE WHEN start_ms >= t THEN 'guest' ELSE 'cam' END FROM j WHERE NOT coalesce(start_ms < t AND end_ms - t > 500, false)""")
+def t09(t: Tables) -> DataFrame:
+    items = t.segments.select("media_id", F.col("seg_id").alias("item"), F.col("start_ms").alias("a_ms"), F.col("end_ms").alias("b_ms"), F.lit("cam").alias("kind"))
+    return timeline.split_at_word(items, t.words, "th", 2000, "guest")
+
+
+@query("u02_narration_sources", """, n AS (SELECT seq_id, clip_ix, CASE WHEN clip_ix % 4 = 1 THEN media_id + 1000 ELSE media_id END AS media_id, kind, start_ms, end_ms FROM clips), o AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY end_ms - start_ms DESC, clip_ix) AS r FROM n WHERE kind = 'audio' AND NOT EXISTS (SELECT 1 FROM n v WHERE v.kind = 'video' AND v.seq_id = n.seq_id AND v.media_id = n.media_id))
+SELECT DISTINCT o.media_id AS narration, n.media_id AS source FROM o JOIN n ON o.r = 1 AND n.seq_id = o.seq_id AND n.kind = 'video'""")
+def u02(t: Tables) -> DataFrame:
+    c = t.clips.withColumn("media_id", F.when(F.col("clip_ix") % 4 == 1, F.col("media_id") + 1000).otherwise(F.col("media_id")))
+    return timeline.narration_sources(c, timeline.narration(c))
+
+
+@query("u04_unmapped_speakers", "SELECT DISTINCT media_id, speaker FROM segments WHERE speaker NOT IN ('user', 'assistant')")
+def u04(t: Tables) -> DataFrame:
+    cams = t.spark.createDataFrame([(0, []), (1, ["user"]), (2, ["assistant"])], "cam int, speakers array<string>")
+    mapped = cams.select(F.explode("speakers").alias("speaker"))
+    return t.segments.select("media_id", "speaker").distinct().join(mapped, "speaker", "left_anti").select("media_id", "speaker")
+
+
+@query("a18_edit_quality", """, us AS (SELECT DISTINCT seq_id, s.media_id, seg_id FROM segments s JOIN clips c ON s.media_id = c.media_id WHERE (least(s.end_ms, out_ms) - greatest(s.start_ms, in_ms)) * 100 > least(s.end_ms - s.start_ms, out_ms - in_ms) * 35),
+sl AS (SELECT *, regexp_matches(text, '^\\s*\\p{Ll}') AS low FROM (SELECT media_id, seg_id, speaker, substr(text, 2) AS text FROM segments)), sn AS (SELECT *, lag(seg_id) OVER w AS pid, lead(seg_id) OVER w AS nid, lead(low) OVER w AS nlow, lead(speaker) OVER w AS nspk FROM sl WINDOW w AS (PARTITION BY media_id ORDER BY seg_id)),
+x AS (SELECT u.seq_id, s.*, EXISTS (SELECT 1 FROM us v WHERE v.seq_id = u.seq_id AND v.media_id = u.media_id AND v.seg_id = pid) AS hp, EXISTS (SELECT 1 FROM us v WHERE v.seq_id = u.seq_id AND v.media_id = u.media_id AND v.seg_id = nid) AS hn FROM us u JOIN sn s ON u.media_id = s.media_id AND u.seg_id = s.seg_id)
+SELECT seq_id, count(*) AS sentences, count_if(speaker = 'system') AS by_moderator, count_if(low AND NOT hp) AS fragments, count_if(coalesce(nlow AND speaker = nspk, false) AND NOT hn) AS unfinished, count_if(contains(strip_accents(lower(text)), 'ation')) AS on_topic FROM x GROUP BY seq_id""")
+def a18(t: Tables) -> DataFrame:
+    s = t.segments.withColumn("text", F.substring("text", 2, 1 << 30))
+    hosts = s.filter("speaker = 'system'").select("media_id", "speaker").distinct()
+    return timeline.edit_quality(timeline.used_sentences(t.clips, t.segments), s, hosts, "ation")
+
+
+@query("v04_picture_cuts")
+def v04(t: Tables) -> DataFrame:
+    return timeline.picture_cuts(t.clips, t.cuts)
+
+
+@query("k06_keep_order", """SELECT media_id AS plan_id, seg_id AS unit, CAST(row_number() OVER (PARTITION BY media_id ORDER BY seg_id % 4 = 0 DESC, n_words % 3, (seg_id * 5) % 7 DESC, end_ms - start_ms, seg_id) AS INTEGER) AS place FROM segments""")
+def k06(t: Tables) -> DataFrame:
+    order = F.row_number().over(W.partitionBy("media_id").orderBy(F.desc(F.col("seg_id") % 4 == 0), F.col("n_words") % 3, F.desc((F.col("seg_id") * 5) % 7), F.col("end_ms") - F.col("start_ms"), "seg_id"))
+    return t.segments.select(F.col("media_id").alias("plan_id"), F.col("seg_id").alias("unit"), order.alias("place"))
+
+
+@query("x14_levels", "SELECT event_id, round(20 * log10(greatest(value / 1000, 1e-7)), 6) AS db FROM events", base=False)
+def x14(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.round(20 * F.log10(F.greatest(F.col("value") / 1000, F.lit(1e-7))), 6).alias("db"))
+
+
+@query("x04_caption_fixes", "SELECT media_id, seg_id, pos, CASE regexp_replace(strip_accents(lower(w)), '[.,;:!?]+$', '') WHEN 'the' THEN 'THE' WHEN 'et' THEN 'ET' ELSE regexp_replace(w, '[.,;:!?]+$', '') END || regexp_extract(w, '[.,;:!?]+$') AS w FROM words WHERE NOT contains(w, 'ß')")
+def x04(t: Tables) -> DataFrame:
+    fixes = F.create_map(F.lit("the"), F.lit("THE"), F.lit("et"), F.lit("ET"))
+    bare, tail = F.regexp_replace("w", r"[.,;:!?]+$", ""), F.regexp_extract("w", r"[.,;:!?]+$", 0)
+    fixed = F.coalesce(F.try_element_at(fixes, X.normal(bare)), bare)
+    return t.words.filter(~F.contains("w", F.lit("ß"))).select("media_id", "seg_id", "pos", F.concat(fixed, tail).alias("w"))

@@ -225,7 +225,7 @@ def a02(t: Tables) -> DataFrame:
     return speakers.samples(t.segments)
 
 
-@query("a03_moderator", r""", p AS (SELECT media_id, speaker, count(*) AS n, count_if(regexp_matches(text, 'e\.\s*$')) AS q, sum(length(text)) AS chars FROM segments GROUP BY media_id, speaker),
+@query("a03_moderator", r""", p AS (SELECT media_id, speaker, count(*) AS n, count_if(regexp_matches(text, 'e\.\s*$')) AS q, sum(end_ms - start_ms) AS chars FROM segments GROUP BY media_id, speaker),
 r AS (SELECT *, max(regexp_matches(speaker, '(?i)^host')) OVER (PARTITION BY media_id) AS named, count(*) OVER (PARTITION BY media_id) AS k, row_number() OVER (PARTITION BY media_id ORDER BY chars, speaker) AS least FROM p)
 SELECT media_id, speaker FROM r WHERE NOT named AND k >= 3 AND least = 1 AND q * 5 >= n""")
 def a03(t: Tables) -> DataFrame:

@@ -44,7 +44,7 @@ def test_questions_pull_their_answers(spark):
 
 def test_moderator_by_questions(spark):
     rows = [(1, i, "x" * 30, "AB"[i % 2]) for i in range(10)] + [(1, 20, "Proč?", "C"), (1, 21, "Ano", "C")]
-    s = spark.createDataFrame(rows, "media_id long, seg_id long, text string, speaker string")
+    s = spark.createDataFrame(rows, "media_id long, seg_id long, text string, speaker string").withColumns({"start_ms": F.lit(0), "end_ms": F.length("text")})
     assert [r.speaker for r in speakers.moderator(s).collect()] == ["C"]
     assert [r.speaker for r in speakers.moderator(s.withColumn("speaker", F.when(F.col("speaker") == "A", "Moderátor").otherwise(F.col("speaker")))).collect()] == ["Moderátor"]
 
