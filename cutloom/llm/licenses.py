@@ -157,8 +157,12 @@ def scan(
     base = F.coalesce(F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["label"]))), none)
     n_base = F.coalesce(F.size("_found"), F.lit(0))
     n_base = F.when(F.col("_found").isNull(), F.lit(0)).otherwise(n_base).cast("long")
+    # Texts without a prefix word have no key: they stay out of the join, where they would be one hot key.
+    plain = row.filter(F.col("_key").isNull()).withColumns({"_labels": F.lit(None).cast("array<string>"), "_part": F.lit(None).cast("double")})
     return (
-        row.join(per_text, "_key", "left")
+        row.filter(F.col("_key").isNotNull())
+        .join(per_text, "_key", "left")
+        .unionByName(plain)
         .withColumns(
             {
                 "n_words": F.col("_words"),
