@@ -18,6 +18,7 @@ emits the bytes on the arcs.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -332,15 +333,15 @@ def encode(df: DataFrame, vocabulary: str, text: str | Column = "text", *, decod
     independent: no shuffle, memory is bounded by one slice of rows.
     ``vocabulary`` is a file that every executor can open.
     """
-    keep = [c for c in df.columns if c not in {"ids", "decoded", "_text"}]
-    shaped = df.select(*keep, F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias("_text"))
+    keep, own = [c for c in df.columns if c not in {"ids", "decoded"}], f"_text{uuid.uuid4().hex}"
+    shaped = df.select(*keep, F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias(own))
     out = df.select(*keep).withColumn("ids", F.array().cast("array<int>"))
     out = out.withColumn("decoded", F.lit("")) if decoded else out
 
     def run(batches):
         c = codec(vocabulary)
         for b in slices(batches):
-            parts = c.encode_all(b.column("_text").to_pylist())
+            parts = c.encode_all(b.column(own).to_pylist())
             offsets = np.cumsum([0, *[len(p) // 4 for p in parts]]).astype("int32")
             ids = np.frombuffer(b"".join(parts), "<i4")
             cols = [b.column(k) for k in keep] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]

@@ -8,6 +8,7 @@ unit vectors of its texts.  A text gets the language with the largest cosine.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -155,7 +156,7 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFra
     learned are ``und`` with score 0.  Equal cosines go to the first name.
     Columns of these names are replaced, all others pass unchanged.
     """
-    keep = [c for c in df.columns if c not in {"lang_pred", "score", "_text"}]
+    keep, own = [c for c in df.columns if c not in {"lang_pred", "score"}], f"_text{uuid.uuid4().hex}"
     schema = df.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def run(batches):
@@ -164,7 +165,7 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFra
             for i in range(0, b.num_rows, 512):
                 s = b.slice(i, 512)
                 names, scores = [], []
-                for t in s.column("_text").to_pylist():
+                for t in s.column(own).to_pylist():
                     v = space.text(t) if t and profiles.languages else None
                     cosines = profiles.vectors @ v if v is not None else None
                     best = int(np.argmax(cosines)) if v is not None else -1
@@ -175,4 +176,4 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFra
                     names=[*keep, "lang_pred", "score"],
                 )
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)

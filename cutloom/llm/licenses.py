@@ -99,7 +99,9 @@ def scan(
 
     # One pass over the texts: counts, phrase places, and the lines that hold a prefix word.
     loose = _loose_words(body)
-    first = df.select(*keep, body.alias("_text"), loose.alias("_loose")).withColumns(
+    # The kept columns travel as one, so that their names clash with none of these.
+    kept = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))
+    first = df.select(kept.alias("_row"), body.alias("_text"), loose.alias("_loose")).withColumns(
         {
             "_words": F.size("_loose").cast("long"),
             "_may": F.arrays_overlap("_loose", F.lit(sorted({p.split()[0] for p in phrases}))),
@@ -174,5 +176,5 @@ def scan(
                 "score": F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce("_part", F.lit(0.0))),
             }
         )
-        .select(*keep, *added)
+        .select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], *added)
     )

@@ -18,8 +18,8 @@ ODD = [None, "", " ", "a", "\n\n  b \t c", "<|endoftext|> x<|endoftext|>", "x" *
 
 
 def docs(spark, texts, **more):
-    rows = [(i, t, "extra") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    rows = [(i, t, "extra", "own") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string, _text string")
 
 
 def test_automaton_equals_library():
@@ -133,7 +133,7 @@ def test_langid_odd_rows(spark):
     got = langid.predict(docs(spark, texts), p).collect()
     assert [r.lang_pred for r in got] == ["und", "und", "und", "de", "en"]
     assert [r.score > 0 for r in got] == [False, False, False, True, True]
-    assert got[0].ids == "extra"
+    assert got[0].ids == "extra" and got[0]["_text"] == "own"
     nothing = langid.fit(train.limit(0))
     assert {r.lang_pred for r in langid.predict(docs(spark, texts), nothing).collect()} == {"und"}
     with pytest.raises(ValueError):
