@@ -78,24 +78,31 @@ class Planner:
             ok = i < s.size
             near[k, ok] = (t[ok] >= s[i[ok]] - r.pre_roll) & (t[ok] < e[i[ok]] + r.post_roll)
             ahead[k, ok] = near[k, ok] & (s[i[ok]] > t[ok])
-        count, steps, held = speaking.sum(axis=0), [], None
-        since = {"overlap": None, "silence": None}
+        if not names:
+            speaking = near = ahead = np.zeros((1, t.size), bool)
+            names = [""]
+        count, quiet, coming = speaking.sum(axis=0).tolist(), (~near.any(axis=0)).tolist(), ahead.any(axis=0).tolist()
+        close = [self.close(n) for n in names]
+        now, soon = speaking.argmax(axis=0).tolist(), ahead.argmax(axis=0).tolist()
+        always = [c.offset_ms <= start and (c.duration_ms is None or end - c.offset_ms <= c.duration_ms) for c in self.cameras]
+        steps, held, overlap, silence = [], None, None, None
         for k, at in enumerate(t.tolist()):
-            kind = "overlap" if count[k] >= 2 else None if count[k] == 1 or near[:, k].any() else "silence"
-            for name in since:
-                since[name] = None if name != kind else at if since[name] is None else since[name]
-            if count[k] == 1:
-                want = self.close(names[int(np.argmax(speaking[:, k]))])
-            elif kind is None and ahead[:, k].any():
-                want = self.close(names[int(np.argmax(ahead[:, k]))])
+            want = held
+            if count[k] >= 2:
+                overlap, silence = at if overlap is None else overlap, None
+                if r.overlap_wide and self.wide is not None and at - overlap >= r.overlap_min:
+                    want = self.wide
             else:
-                want = held
-                limit = r.overlap_min if kind == "overlap" else r.silence_to_wide
-                allowed = self.wide is not None and (kind == "silence" or kind == "overlap" and r.overlap_wide)
-                if allowed and at - since[kind] >= limit:
+                overlap = None
+                silence = None if count[k] or not quiet[k] else at if silence is None else silence
+                if count[k]:
+                    want = close[now[k]]
+                elif coming[k]:
+                    want = close[soon[k]]
+                elif silence is not None and self.wide is not None and at - silence >= r.silence_to_wide:
                     want = self.wide
             want = self.fallback if want is None else want
-            if not self.cameras[want].covers(at):
+            if not always[want] and not self.cameras[want].covers(at):
                 want = next((i for i in [self.fallback, *range(len(self.cameras))] if self.cameras[i].covers(at)), want)
             held = want
             steps.append(want)
@@ -155,7 +162,7 @@ class Planner:
 def planned_runs(spans: DataFrame, turns: DataFrame, cameras: list[Camera], rules: Rules = Rules()) -> DataFrame:
     """Camera runs of every range (media_id, range_no, start_ms, end_ms): media_id, range_no, run, cam, start_ms, end_ms, cutaway.
 
-    Ranges are independent: each is one group with the turns that touch it.
+    Ranges are independent: each is one row with the turns near it, planned in batches.
     """
     from cutloom.operators import intervals
 
@@ -163,15 +170,21 @@ def planned_runs(spans: DataFrame, turns: DataFrame, cameras: list[Camera], rule
     near = intervals.overlap_join(spans.select("media_id", "range_no", "start_ms", "end_ms"), turns.select("media_id", "speaker", "t_start", "t_end"), ["media_id"], "start_ms", "end_ms", "t_start", "t_end", slack_ms=margin, how="left")
     planner = Planner(cameras, rules)
 
-    def fold(key, pdf):
+    turn = F.when(F.col("speaker").isNotNull(), F.struct("t_start", "t_end", "speaker"))
+    per = near.groupBy("media_id", "range_no", "start_ms", "end_ms").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+
+    def run(batches):
         import pandas as pd
 
-        own = [(r.speaker, int(r.t_start), int(r.t_end)) for r in pdf.sort_values(["t_start", "t_end", "speaker"]).itertuples() if r.speaker is not None]
-        runs = planner.plan(own, int(pdf.start_ms.iloc[0]), int(pdf.end_ms.iloc[0]))
-        return pd.DataFrame([(key[0], key[1], i, *r) for i, r in enumerate(runs, 1)], columns=["media_id", "range_no", "run", "cam", "start_ms", "end_ms", "cutaway"])
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                own = [(t["speaker"], int(t["t_start"]), int(t["t_end"])) for t in r.turns]
+                runs = planner.plan(own, int(r.start_ms), int(r.end_ms))
+                out += [(r.media_id, r.range_no, i, *x) for i, x in enumerate(runs, 1)]
+            yield pd.DataFrame(out, columns=["media_id", "range_no", "run", "cam", "start_ms", "end_ms", "cutaway"])
 
-    schema = "media_id bigint, range_no bigint, run bigint, cam int, start_ms bigint, end_ms bigint, cutaway boolean"
-    return near.groupBy("media_id", "range_no").applyInPandas(fold, schema)
+    return per.mapInPandas(run, "media_id bigint, range_no bigint, run bigint, cam int, start_ms bigint, end_ms bigint, cutaway boolean")
 
 
 def placed_clips(runs: DataFrame, spans: DataFrame, cameras: DataFrame) -> DataFrame:
