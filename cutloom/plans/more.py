@@ -274,3 +274,10 @@ def x04(t: Tables) -> DataFrame:
     bare, tail = F.regexp_replace("w", r"[.,;:!?]+$", ""), F.regexp_extract("w", r"[.,;:!?]+$", 0)
     fixed = F.coalesce(F.try_element_at(fixes, X.normal(bare)), bare)
     return t.words.filter(~F.contains("w", F.lit("ß"))).select("media_id", "seg_id", "pos", F.concat(fixed, tail).alias("w"))
+
+
+@query("a07_script_split", r", s AS (SELECT p.plan_id, CASE WHEN regexp_matches(text, '\p{Cyrillic}') THEN 'cyrillic' ELSE 'latin' END AS script FROM picks p JOIN segments s ON p.media_id = s.media_id AND p.seg_id = s.seg_id) SELECT plan_id, script, count(*) AS n FROM s GROUP BY ALL")
+def a07(t: Tables) -> DataFrame:
+    s = t.picks.join(t.segments.select("media_id", "seg_id", "text"), ["media_id", "seg_id"])
+    script = F.when(F.col("text").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return s.groupBy("plan_id", script.alias("script")).agg(F.count("*").alias("n"))
