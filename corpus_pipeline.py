@@ -11,6 +11,8 @@ from cutloom.llm.queries import vocabulary
 
 #: A text whose cosine with every language's prototype is below this is no language.
 MIN_COSINE = 0.1
+#: With fewer letters in its different words even a clean text's cosine may be lower, so it stays.
+LEAST_LETTERS = 100
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -19,9 +21,11 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; texts without letters, or like no prototype, go."""
+    """Documents in a learned language; texts without letters, and those long enough to judge that are like no prototype, go."""
     found = langid.predict(docs, langid.fit(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_COSINE)).select(*docs.columns)
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "))
+    short = F.length(F.array_join(words, "")) < LEAST_LETTERS
+    return found.filter((F.col("lang_pred") != "und") & ((F.col("score") >= MIN_COSINE) | short)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cutloom.llm import queries
 from cutloom.llm.common import written
@@ -59,6 +61,19 @@ def test_odd_documents(spark):
     assert empty.count() == 0
 
 
+def test_short_documents_stay(spark):
+    plain = {"de": "die katze sitzt auf dem dach und der hund schläft im garten", "en": "the cat sat on the mat and the dog slept in the yard"}
+    rows = [(i, f"{plain[k]} {k * (i % 5)}", k, "s", 1) for i in range(60) for k in plain]
+    words = ["Avec.", "A.", "Von.", "Osrañ.", "Erö.", "Quxpf."]
+    rows += [(1000 + i, w, "en", "s", 1) for i, w in enumerate(words)] + [(1100 + i, f"{w}\n" * 400, "en", "s", 1) for i, w in enumerate(words)]
+    rows += [(2000, " ".join(chr(0x4E00 + 3 * i) + chr(0x5E00 + 7 * i) for i in range(600)), None, "s", 1), (2001, "1 2 3", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # The prototypes come from the long texts; the short ones are judged by them.
+    learned = docs.withColumn("lang", F.when(F.col("doc_id") < 1000, F.col("lang")))
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, learned, "").collect()}
+    assert {r[0] for r in rows} - left == {2000, 2001}
+
+
 def test_registered():
     import __spark_entry__
 
