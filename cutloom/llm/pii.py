@@ -103,42 +103,52 @@ def _valid(text: Column, pattern: str, kind: str) -> Column:
 def disclosing_terms(df: DataFrame, *, text: str = "text", spans: str = "base", threshold: float = 0.9, support: int = 5) -> DataFrame:
     """(term, kind, share): terms whose PMI with a kind of entity is at least ``threshold`` of its information content.
 
-    A term counts as often with a kind as different lines hold both (copies of
-    a line say nothing new), and as often at all as documents hold it; fewer
-    than ``support`` lines are no evidence.  All documents are counted.
+    The corpus is its different lines: p(term), p(kind) and p(term, kind) are
+    shares of them, so copies of a line or a document say nothing new.  Fewer
+    than ``support`` lines with both, or fewer than ``support`` different texts
+    that hold such lines, are no evidence.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    with_any = df.filter(F.size(spans) > 0)
-    lines = with_any.select(F.explode(F.split(body, "\n")).alias("line")).filter(F.col("line").rlike("[0-9@]")).distinct()
-    blank = F.col("line")
-    for pattern in PATTERNS.values():
-        blank = F.regexp_replace(blank, pattern, " ")
-    near = (
-        lines.select(F.array_distinct(F.transform(base_spans(F.col("line")), lambda s: s["kind"])).alias("kinds"), blank.alias("line"))
-        .filter(F.size("kinds") > 0)
-        .select("kinds", F.explode(F.array_distinct(F.split(F.lower("line"), NO_WORD))).alias("term"))
-        .select(F.explode("kinds").alias("kind"), "term")
-        .filter(F.length("term") >= 3)
-        .groupBy("term", "kind")
-        .agg(F.count("*").alias("both"))
-        .filter(F.col("both") >= support)
-    )
-    near = written(near)
-    words = df.select(F.explode(F.array_distinct(F.split(F.lower(body), NO_WORD))).alias("term"))
+    split = F.explode(F.split(body, "\n")).alias("line")
+    of_texts = df.filter(F.size(spans) > 0).select(F.xxhash64(body).alias("of"), split).filter(F.col("line").rlike("[0-9@]"))
+
+    def near(lines: DataFrame, *keep: str) -> DataFrame:
+        blank = F.col("line")
+        for pattern in PATTERNS.values():
+            blank = F.regexp_replace(blank, pattern, " ")
+        kinds = F.array_distinct(F.transform(base_spans(F.col("line")), lambda s: s["kind"]))
+        # The empty term stands for any: it counts the kind's lines.
+        terms = F.array_union(F.array_distinct(F.split(F.lower(blank), NO_WORD)), F.array(F.lit("")))
+        return (
+            lines.select(*keep, kinds.alias("kinds"), terms.alias("terms"))
+            .filter(F.size("kinds") > 0)
+            .select(*keep, "kinds", F.explode("terms").alias("term"))
+            .filter((F.length("term") >= 3) | (F.col("term") == ""))
+            .select(*keep, F.explode("kinds").alias("kind"), "term")
+        )
+
+    both = written(near(of_texts.select("line").distinct()).groupBy("term", "kind").agg(F.count("*").alias("both")).filter(F.col("both") >= support))
+    kinds = both.filter("term = ''").select("kind", F.col("both").alias("of_kind"))
+    words = F.array_union(F.array_distinct(F.split(F.lower("line"), NO_WORD)), F.array(F.lit("")))
     # Counted before the join, as only counts combine before a shuffle.
-    often = words.groupBy("term").agg(F.count("*").alias("n"))
-    kinds = df.select(F.explode(F.array_distinct(F.transform(spans, lambda s: s["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("of_kind"))
-    total = df.agg(F.count("*").alias("total"))
+    often = df.select(split).filter("line <> ''").distinct().select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    often = written(often.join(both.select("term").distinct(), "term", "left_semi"))
+    total = often.filter("term = ''").select(F.col("n").alias("total"))
     p_kind = F.col("of_kind") / F.col("total")
     given = F.least(F.lit(1.0), F.col("both") / F.col("n"))
     share = F.when(p_kind < 1, 1 + F.log2(given) / -F.log2(p_kind)).otherwise(F.lit(0.0))
-    return (
-        near.join(often, "term")
+    likely = written(
+        both.filter("term <> ''")
+        .join(often, "term")
         .join(F.broadcast(kinds), "kind")  # one row per kind
         .join(F.broadcast(total))  # one row
         .select("term", "kind", share.alias("share"))
         .filter(F.col("share") >= threshold)
     )
+    if likely.isEmpty():
+        return likely
+    texts = near(of_texts.distinct(), "of").join(likely, ["term", "kind"]).groupBy("term", "kind", "share").agg(F.count_distinct("of").alias("texts"))
+    return texts.filter(F.col("texts") >= support).select("term", "kind", "share")
 
 
 def find(df: DataFrame, *, text: str = "text", threshold: float = 0.9, support: int = 5) -> DataFrame:

@@ -82,6 +82,17 @@ def test_disclosing_terms(spark):
     assert clean[100] == rows[12][1] and clean[500] is None and clean[501] == ""
 
 
+def test_terms_count_by_lines_and_texts(spark):
+    rows = [(i, f"signal: s{i}@mail.de") for i in range(100)]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]  # copies of a document leave the term disclosing
+    rows += [(2000, "\n".join(f"einmal x{i}@mail.de" for i in range(8)))]  # many lines of one text are no evidence
+    rows += [(2001, rows[-1][1])]
+    rows += [(3000 + i, f"nothing here {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", pii.base_spans(F.col("text")))
+    found = [tuple(r) for r in pii.disclosing_terms(df).collect()]
+    assert [f[:2] for f in found] == [("signal", "email")] and abs(found[0][2] - 1) < 1e-9
+
+
 def test_overlapping_spans_become_one(spark):
     df = spark.createDataFrame([(1, "é 4111111111111111@x.de, +4111111111111111!")], "doc_id long, text string")
     assert pii.sanitise(df).first().text == "é [EMAIL], +[CARD]!"
