@@ -18,19 +18,24 @@ emits the bytes on the arcs.
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: how byte-level vocabularies split text before merging.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks kept per Python worker; a full table starts anew, results don't change.
-KEPT = 400_000
+from cutloom.llm.chunks import Table, latin_rest
+from cutloom.llm.common import mapped, named, slices
+
+# Fixed value: how byte-level vocabularies split text before merging; here for ASCII and the letters of Latin-1.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+LATIN_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+"
+#: Longer words, in bytes, are encoded one by one; places that a group of words takes at once.
+LONG, CELLS = 48, 1 << 20
+#: The table of known arcs has 2 ** ARC_BITS slots of 9 bytes.
+ARC_BITS = 21
 
 
 def byte_of_char() -> dict[str, int]:
@@ -40,6 +45,41 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Hashed:
+    """Whole numbers by whole numbers in open addressing, looked up many at a time; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (4 * keys.size).bit_length())
+        self.key, self.value = np.full(1 << self.bits, -1, "i8"), np.full(1 << self.bits, -1, "i8")
+        slot = self._slot(keys)
+        while keys.size:
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.key[slot[first]] < 0]
+            self.key[slot[first]], self.value[slot[first]] = keys[first], values[first]
+            left = np.ones(keys.size, bool)
+            left[first] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype("i8")
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        there = self.key[slot]
+        out = np.where(there == keys, self.value[slot], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        slot = slot[open_]
+        while open_.size:
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there = self.key[slot]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.value[slot[hit]]
+            more = ~hit & (there >= 0)
+            open_, slot = open_[more], slot[more]
+        return out
+
+
 class TokenAutomaton:
     """Deterministic automaton of all BPE token sequences of one vocabulary."""
 
@@ -59,10 +99,10 @@ class TokenAutomaton:
         self.made: dict[int, int] = {}
         for when, (a, b) in enumerate(merges, 1):
             self._gadget(when, vocabulary[a], vocabulary[b], vocabulary[a + b])
-        self.arcs: dict[int, bool] = {}
         self.starts = np.zeros(max(self.label) + 1, "i8")  # where a token's arc leads
         self.starts[list(self.target)] = list(self.target.values())
         self._compile_trie()
+        self.arc_key, self.arc_ok = np.full(1 << ARC_BITS, -1, "i8"), np.zeros(1 << ARC_BITS, bool)
 
     def _gadget(self, when: int, a: int, b: int, c: int) -> None:
         onward, hit = self.target[b], self.target[a]
@@ -98,25 +138,15 @@ class TokenAutomaton:
             until, token = self.made[token], self.left[token]
 
     def encode_word(self, word: bytes) -> list[int]:
-        of, arcs, target = self.of, self.arcs, self.target
+        of, target = self.of, self.target
         whole = len(word)
         last, state = [0] * (whole + 1), [0] * (whole + 1)
         for i in range(1, whole + 1):
             for j in range(max(0, i - self.longest), i):
                 token = of.get(word[j:i])
-                if token is None:
-                    continue
-                if j:
-                    arc = state[j] << 20 | token
-                    ok = arcs.get(arc)
-                    if ok is None:
-                        if len(arcs) >= KEPT:
-                            arcs.clear()
-                        ok = arcs[arc] = self._arc(state[j], token)
-                    if not ok:
-                        continue
-                last[i], state[i] = token, target[token]
-                break
+                if token is not None and (j == 0 or self._arc(state[j], token)):
+                    last[i], state[i] = token, target[token]
+                    break
         out, i = [], whole
         while i:
             out.append(last[i])
@@ -137,98 +167,87 @@ class TokenAutomaton:
                 node = step[key]
             token_at[node] = token
         self.token_at = np.array(token_at, "i8")
-        self.bits = (4 * len(step)).bit_length()
-        self.key, self.next = np.full(1 << self.bits, -1, "i8"), np.zeros(1 << self.bits, "i8")
-        keys, values = np.fromiter(step, "i8", len(step)), np.fromiter(step.values(), "i8", len(step))
-        slot = self._slot(keys)
-        while keys.size:
-            _, first = np.unique(slot, return_index=True)
-            first = first[self.key[slot[first]] < 0]
-            self.key[slot[first]], self.next[slot[first]] = keys[first], values[first]
-            left = np.ones(keys.size, bool)
-            left[first] = False
-            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - self.bits)).astype("i8")
-
-    def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The next nodes, -1 where there is none."""
-        keys = node << 8 | byte
-        slot, out = self._slot(keys), np.full(keys.size, -1, "i8")
-        open_ = np.arange(keys.size)
-        while open_.size:
-            found = self.key[slot]
-            hit = found == keys[open_]
-            out[open_[hit]] = self.next[slot[hit]]
-            more = ~hit & (found >= 0)
-            open_, slot = open_[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+        self.steps = Hashed(np.fromiter(step, "i8", len(step)), np.fromiter(step.values(), "i8", len(step)))
+
+    def _arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """:meth:`_arc` for many at a time; the answers stay in a table of fixed size until others take their slots."""
+        keys = state << 20 | token
+        slot = ((keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ARC_BITS)).astype("i8")
+        ok = self.arc_ok[slot]
+        new = np.flatnonzero(self.arc_key[slot] != keys)
+        if new.size:
+            few, first, at = np.unique(keys[new], return_index=True, return_inverse=True)
+            found = np.array([self._arc(k >> 20, k & 0xFFFFF) for k in few.tolist()], bool)
+            ok[new] = found[at]
+            slot = slot[new[first]]
+            self.arc_key[slot], self.arc_ok[slot] = few, found
+        return ok
+
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of many words, all words one position further at a time."""
+        out: list[np.ndarray] = [np.zeros(0, "i4")] * len(words)
+        size = np.fromiter(map(len, words), "i8", len(words))
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = np.array(self.encode_word(words[i]), "i4")
+        order = np.flatnonzero((size > 0) & (size <= LONG))
+        order = order[np.argsort(size[order], kind="stable")]
+        while order.size:
+            # As many words, the longest first, as their places fit.
+            width = int(size[order[-1]])
+            rows = max(1, CELLS // (width * width))
+            group, order = order[-rows:], order[:-rows]
+            for i, ids in zip(group.tolist(), self._group([words[i] for i in group.tolist()], size[group], width), strict=True):
+                out[i] = ids
         return out
 
-    def _arc_known(self, keys: np.ndarray) -> np.ndarray:
-        few, at = np.unique(keys, return_inverse=True)
-        if len(self.arcs) + few.size > 4 * KEPT:
-            self.arcs.clear()
-        known = [self.arcs.get(k) for k in few.tolist()]
-        for i, k in enumerate(known):
-            if k is None:
-                key = int(few[i])
-                known[i] = self.arcs[key] = self._arc(key >> 20, key & 0xFFFFF)
-        return np.array(known, bool)[at]
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of many words as little-endian 32-bit numbers, all words one position further at a time."""
-        out: list[bytes] = [b""] * len(words)
-        order = sorted((len(w), i) for i, w in enumerate(words))
-        for n, i in order:
-            if n > 48:
-                out[i] = np.array(self.encode_word(words[i]), "<i4").tobytes()
-        order = [x for x in order if 0 < x[0] <= 48]
-        for at in range(0, len(order), 2048):
-            group = order[at : at + 2048]
-            width = group[-1][0]
-            text = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for _, i in group]), "u1").reshape(-1, width)
-            text = text.astype("i8")
-            size = np.array([n for n, _ in group])
-            rows = len(group)
-            ends = np.full((rows, width + 1, width), -1, "i4")  # the token from j to i, by [row, i, j]
-            row, start = np.nonzero(np.arange(width) < size[:, None])
-            node = np.zeros(row.size, "i8")
-            for n in range(width):
-                inside = start + n < size[row]
-                row, start, node = row[inside], start[inside], node[inside]
-                node = self._step(node, text[row, start + n])
-                alive = node >= 0
-                row, start, node = row[alive], start[alive], node[alive]
-                if not row.size:
-                    break
-                ends[row, start + n + 1, start] = self.token_at[node]
-            last, state = np.zeros((rows, width + 1), "i8"), np.zeros((rows, width + 1), "i8")
-            source = np.zeros((rows, width + 1), "i8")
-            for i in range(1, width + 1):
-                r, j = np.nonzero(ends[:, i, :i] >= 0)
-                token = ends[r, i, j].astype("i8")
-                ok = (j == 0) | self._arc_known(state[r, j] << 20 | token)
-                r, j, token = r[ok], j[ok], token[ok]
-                first = np.ones(r.size, bool)
-                first[1:] = r[1:] != r[:-1]
-                r, j, token = r[first], j[first], token[first]
-                last[r, i], source[r, i], state[r, i] = token, j, self.starts[token]
-            for k, (n, i) in enumerate(group):
-                found, s, t = [], source[k].tolist(), last[k].tolist()
-                while n:
-                    found.append(t[n])
-                    n = s[n]
-                out[i] = np.array(found[::-1], "<i4").tobytes()
-        return out
+    def _group(self, words: list[bytes], size: np.ndarray, width: int) -> list[np.ndarray]:
+        rows = len(words)
+        text = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), "u1").reshape(-1, width).astype("i8")
+        found = []  # the tokens from j to i
+        row, start = np.nonzero(np.arange(width) < size[:, None])
+        node = np.zeros(row.size, "i8")
+        for n in range(width):
+            inside = start + n < size[row]
+            row, start, node = row[inside], start[inside], node[inside]
+            node = self.steps.get(node << 8 | text[row, start + n])
+            alive = node >= 0
+            row, start, node = row[alive], start[alive], node[alive]
+            if not row.size:
+                break
+            token = self.token_at[node]
+            has = token >= 0
+            found.append((row[has], start[has], np.full(int(has.sum()), n + 1), token[has]))
+        row, start, length, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((start, row, start + length))
+        row, start, token, end = row[by], start[by], token[by], (start + length)[by]
+        edges = np.searchsorted(end, np.arange(1, width + 2))
+        last, state, source = (np.zeros((rows, width + 1), "i8") for _ in range(3))
+        for i in range(1, width + 1):
+            r, j, t = (x[edges[i - 1] : edges[i]] for x in (row, start, token))
+            while r.size:  # of every word the longest token that is left; just one is accepted
+                first = np.concatenate([[True], r[1:] != r[:-1]])
+                one, begin, label = r[first], j[first], t[first]
+                ok = begin == 0
+                ok[~ok] = self._arcs(state[one[~ok], begin[~ok]], label[~ok])
+                last[one[ok], i], source[one[ok], i], state[one[ok], i] = label[ok], begin[ok], self.starts[label[ok]]
+                rest = ~first & ~np.isin(r, one[ok])
+                r, j, t = r[rest], j[rest], t[rest]
+        # Back from the ends, all words at a time.
+        at, row, steps = size.copy(), np.arange(rows), []
+        while row.size:
+            steps.append((row, last[row, at]))
+            at = source[row, at]
+            row, at = row[at > 0], at[at > 0]
+        row, ids = (np.concatenate(x)[::-1] for x in zip(*steps, strict=True))
+        by = np.argsort(row, kind="stable")
+        return np.split(ids[by].astype("i4"), np.searchsorted(row[by], np.arange(1, rows)))
 
     def decode(self, ids) -> bytes:
         return b"".join([self.label.get(i, b"") for i in ids])
 
 
 class Codec:
-    """An automaton with the splitting of texts around it and tables of chunks met before."""
+    """An automaton with the splitting of texts around it and a table of words met before."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -236,78 +255,51 @@ class Codec:
         model = spec["model"]
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = TokenAutomaton(model["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]})
-        self.split = regex.compile(SPLIT)
-        names = sorted(self.automaton.special, key=len, reverse=True)
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.odd = regex.compile(r" (?=\s|$)|[^\x20-\x7e\n¡-ɏͰ-ϿЀ-ԯ]")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.special = self.automaton.special
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.split = re.compile(LATIN_SPLIT).findall
+        self.known = Table(self._learn, ("i4", "u1"))
         self.exact = None
         self.path = path
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > KEPT and known:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        known.update(zip(new, self.automaton.encode_words([w.encode() for w in new]), strict=True))
-        return [known[w] for w in words]
-
-    def _split(self, text: str) -> list[str]:
-        """Words of a text with characters whose class differs between Unicode versions: the file's own splitter."""
+    def _learn(self, new: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words, and the labels on their arcs."""
+        ids = self.automaton.encode_words([b"" if w in self.special else w.encode() for w in new])
+        ids = [np.array([self.special[w]], "i4") if w in self.special else i for w, i in zip(new, ids, strict=True)]
+        sizes = np.fromiter(map(len, ids), "i8", len(ids))
+        ids = np.concatenate(ids)
+        labels = [self.automaton.label[i] for i in ids.tolist()]
+        length = np.concatenate([[0], np.cumsum(np.fromiter(map(len, labels), "i8", len(labels)))])
+        ends = length[np.cumsum(sizes)]
+        return [(ids, sizes), (np.frombuffer(b"".join(labels), "u1"), np.diff(ends, prepend=0))]
+
+    def _words(self, text: str) -> list[str]:
+        """Words of a text; where characters' classes may differ between Unicode versions, by the file's own splitter."""
+        if any(m in text for m in self.special):
+            return [w for x in self.marks.split(text) if x for w in ([x] if x in self.special else self._words(x))]
+        if not latin_rest(text):
+            return self.split(text)
         if self.exact is None:
             from tokenizers import Tokenizer
 
             self.exact = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self.exact.pre_tokenize_str(text)]
 
-    def _chunks(self, text: str) -> list[str]:
-        """A blank before a word always begins a word of SPLIT, so the text falls apart there."""
-        head, *rest = text.split(" ")
-        return [*([head] if head else []), *[" " + x for x in rest]]
-
-    def _learn(self, texts: list[str]) -> None:
-        """Puts all chunks of some texts into the table, new ones encoded together."""
-        chunks = self.chunks
-        wanted = dict.fromkeys(x for t in texts for x in self._chunks(t))
-        new = [x for x in wanted if x not in chunks]
-        if len(chunks) + len(new) > KEPT and chunks:
-            chunks.clear()
-            new = list(wanted)
-        parts = [self.split.findall(x) for x in new]
-        ids = iter(self._words([w for p in parts for w in p]))
-        for x, p in zip(new, parts, strict=True):
-            chunks[x] = b"".join([next(ids) for _ in p])
-
-    def _plain(self, text: str) -> bytes:
-        if self.odd.search(text):
-            # A blank before another blank, or rare characters: no chunks.
-            return b"".join(self._words(self._split(text)))
-        try:
-            return b"".join(map(self.chunks.__getitem__, self._chunks(text)))
-        except KeyError:
-            self._learn([text])
-            return b"".join(map(self.chunks.__getitem__, self._chunks(text)))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        self._learn([t for t in texts if not self.odd.search(t)])
-        return [self.encode(t) for t in texts]
-
-    def encode(self, text: str) -> bytes:
-        """Token ids as little-endian 32-bit numbers."""
-        if self.marks is None or not self.marks.search(text):
-            return self._plain(text)
-        special = self.automaton.special
-        return b"".join(
-            np.array([special[x]], "<i4").tobytes() if x in special else self._plain(x)
-            for x in self.marks.split(text)
-            if x
-        )
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts, where each text's begin and end), and the same of the bytes on their arcs."""
+        parts = [self._words(t) for t in texts]
+        places, words = self.known.places(parts), np.cumsum([0, *map(len, parts)])
+        out = []
+        for flat in self.known.flat:
+            values, ends = flat.gather(places)
+            out.append((values, np.concatenate([[0], ends])[words]))
+        return out
+
+    def forget(self) -> None:
+        self.known.forget()
 
     def decode(self, ids: np.ndarray) -> str:
-        label = self.automaton.label
-        return b"".join([label.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
+        return self.automaton.decode(ids.tolist()).decode("utf-8", "replace")
 
 
 _CODECS: dict[str, Codec] = {}
@@ -319,12 +311,6 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def encode(df: DataFrame, vocabulary: str, text: str | Column = "text", *, decoded: bool = False) -> DataFrame:
     """``df`` with ``ids`` array<int>, and with ``decoded`` string (the arcs' labels) if asked for.
 
@@ -334,22 +320,24 @@ def encode(df: DataFrame, vocabulary: str, text: str | Column = "text", *, decod
     ``vocabulary`` is a file that every executor can open.
     """
     keep, own = [c for c in df.columns if c not in {"ids", "decoded"}], f"_text{uuid.uuid4().hex}"
-    shaped = df.select(*keep, F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).alias(own))
-    out = df.select(*keep).withColumn("ids", F.array().cast("array<int>"))
+    shaped = df.select(*map(named, keep), F.coalesce(named(text) if isinstance(text, str) else text, F.lit("")).alias(own))
+    out = df.select(*map(named, keep)).withColumn("ids", F.array().cast("array<int>"))
     out = out.withColumn("decoded", F.lit("")) if decoded else out
 
     def run(batches):
         c = codec(vocabulary)
-        for b in slices(batches):
-            parts = c.encode_all(b.column(own).to_pylist())
-            offsets = np.cumsum([0, *[len(p) // 4 for p in parts]]).astype("int32")
-            ids = np.frombuffer(b"".join(parts), "<i4")
-            cols = [b.column(k) for k in keep] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
-            if decoded:
-                cols.append(pa.array([c.decode(np.frombuffer(p, "<i4")) for p in parts], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", *["decoded"] * decoded])
+        try:
+            for b in slices(batches):
+                (ids, ends), (labels, bounds) = c.encode_all(b.column(own).to_pylist())
+                cols = [b.column(i) for i in range(len(keep))] + [pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))]
+                if decoded:
+                    data = labels.tobytes()
+                    cols.append(pa.array([data[i:j].decode("utf-8", "replace") for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", *["decoded"] * decoded])
+        finally:
+            c.forget()
 
-    return shaped.mapInArrow(run, out.schema)
+    return mapped(shaped, run, out.schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -362,4 +350,5 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             texts = [c.decode(np.array(x or [], "int64")) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    return df.select(*keep).mapInArrow(run, df.select(*keep).withColumn("decoded", F.lit("")).schema)
+    kept = df.select(*map(named, keep))
+    return mapped(kept, run, kept.withColumn("decoded", F.lit("")).schema)
