@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import written
+from cutloom.llm.chunks import Table, latin_rest
+from cutloom.llm.common import named, slices, written
 
-#: Chunks kept per Python worker; a full table starts anew, results don't change.
-KEPT = 700_000
+# Fixed value: how vocabularies of this kind split lower-case text; here for ASCII and the letters of Latin-1.
+LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+PIECE = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+"
 #: Partitions whose open windows are merged together.
 NEIGHBOURS = 16
 
@@ -35,49 +37,44 @@ _ENCODERS: dict[str, Encoder] = {}
 class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers.
 
-    Only for vocabularies that drop white space and never look across it:
-    a text falls apart at blanks and line ends, and its parts repeat a lot.
+    Texts of Latin letters fall into the pieces that the vocabulary's own rules
+    make, which repeat a lot; other texts go to the library as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.simple = re.compile("[A-Za-z\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde.,;:!?]+").fullmatch
-
-    def _plain(self, chunk: str) -> tuple[str, str]:
-        """What a chunk's ids depend on: its lower case, and the mark after its last letter apart."""
-        if not self.simple(chunk):
-            return chunk, ""
-        low = chunk.lower()
-        return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,;:!?" and low[-2].isalpha() else (low, "")
+        # Without the rules on letter case and splitting, which leave lower-case words as they are.
+        self.bare = Tokenizer.from_str(self.tokenizer.to_str())
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces, self.word = re.compile(PIECE).findall, re.compile(f"[{LETTERS}]+").fullmatch
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = Table(self._learn, ("u4",))
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for i in range(0, len(texts), 4096) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        word = [bool(self.word(x)) for x in new]
+        plain = iter(self._ids([x for x, ok in zip(new, word, strict=True) if ok], self.bare))
+        rest = iter(self._ids([x for x, ok in zip(new, word, strict=True) if not ok]))
+        out = [next(plain) if ok else next(rest) for ok in word]
+        size = np.fromiter(map(len, out), "i8", len(out))
+        return [(np.fromiter(chain.from_iterable(out), "u4", int(size.sum())), size)]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        known, stems = self.known, self.stems
-        new = wanted.difference(known)
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = wanted
-        if len(stems) > KEPT:
-            stems.clear()
-        parts = {x: self._plain(x) for x in new}
-        missing = [x for x in {y for p in parts.values() for y in p} if x and x not in stems]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                stems[x] = array("I", e.ids).tobytes()
-        stems[""] = b""
-        for x, (stem, mark) in parts.items():
-            known[x] = stems[stem] + stems[mark]
-        for s in split:
-            yield b"".join([known[x] for x in s])
+        odd = [bool(latin_rest(t)) or any(m in t for m in self.marks) for t in texts]
+        split = [[] if o else self.pieces(t.lower()) for t, o in zip(texts, odd, strict=True)]
+        values, ends = self.known.flat[0].gather(self.known.places(split))
+        data = values.astype("<u4", copy=False).tobytes()
+        ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])].tolist()
+        for t, o, a, b in zip(texts, odd, ends, ends[1:], strict=False):
+            yield np.array(self._ids([t])[0], "<u4").tobytes() if o else data[4 * a : 4 * b]
 
 
 def encoder(path: str) -> Encoder:
@@ -189,15 +186,14 @@ def pack(
         part = TaskContext.get().partitionId()
         enc, windows, out, n = encoder(vocabulary), Windows(length, open_windows), _Rows(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                s = b.slice(i, 256)
-                for d, ids in zip(s.column(0).to_pylist(), enc.encode_all(s.column(1).to_pylist()), strict=True):
-                    for pieces in windows.add(d, ids + end):
-                        out.sequence(pieces, part << 32 | n)
-                        n += 1
-                if out.rows:
-                    yield out.batch()
+        for s in slices(batches):
+            for d, ids in zip(s.column(0).to_pylist(), enc.encode_all(s.column(1).to_pylist()), strict=True):
+                for pieces in windows.add(d, ids + end):
+                    out.sequence(pieces, part << 32 | n)
+                    n += 1
+            if out.rows:
+                yield out.batch()
+        enc.known.forget()
         for i, (_, pieces) in enumerate(windows.open):
             out.sequence(pieces, None, part * open_windows + i)
         yield out.batch()
@@ -215,7 +211,7 @@ def pack(
             out.sequence(pieces, 1 << 62 | group << 32 | n)
         return pa.Table.from_batches([out.batch()])
 
-    texts = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = df.select(named(doc_id).cast("bigint").alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"))
     rows = written(texts.mapInArrow(run, SCHEMA))
     left = rows.filter("sequence_id is null").withColumn("_group", F.floor(F.col("window") / (open_windows * NEIGHBOURS)))
     merged = left.groupBy("_group").applyInArrow(lambda t: merge(t.drop_columns(["_group"])), SCHEMA)
