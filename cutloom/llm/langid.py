@@ -16,65 +16,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.llm.common import mapped, named
+
 #: N-gram vectors kept per Python worker; a full table starts anew, results don't change.
-KEPT = 60_000
+KEPT = 40_000
+#: Letter vectors kept.
+KEPT_LETTERS = 4096
+#: What stands for every run of characters that are no letters.
+BLANK = 32
 #: Partial sums are added as whole numbers, so that their order doesn't matter.
 SCALE = 1 << 24
 
 
+def _letters() -> np.ndarray:
+    """Every code point's letter: itself, or a blank if it is none."""
+    points = np.arange(0x110000)
+    return np.where([chr(p).isalpha() for p in range(0x110000)], points, BLANK)
+
+
 class Space:
-    """The vectors of letters and n-grams, made when first met."""
+    """The vectors of letters and n-grams, made when first met; what stays is bounded."""
 
     def __init__(self, dimensions: int, n: int, seed: int):
         self.dimensions, self.n, self.seed = dimensions, n, seed
-        self.index = np.zeros(0x110000, "i4")  # of a code point: 0 not met, 1 no letter
-        self.points = [0, 32]
-        self.letters: dict[int, np.ndarray] = {}
+        self.letter_of = _letters()
+        self.forget()
+
+    def forget(self) -> None:
         self.row: dict[int, int] = {}
-        self.vectors = np.zeros((1024, dimensions), "i1")
+        self.vectors = np.zeros((0, self.dimensions), "i1")
+        self.letters: dict[int, np.ndarray] = {}
 
-    def letter(self, i: int) -> np.ndarray:
-        if i not in self.letters:
-            random = np.random.Generator(np.random.PCG64([self.seed, self.points[i]]))
-            self.letters[i] = (2 * random.integers(0, 2, self.dimensions) - 1).astype("i1")
-        return self.letters[i]
+    def letter(self, point: int) -> np.ndarray:
+        if point not in self.letters:
+            if len(self.letters) >= KEPT_LETTERS:
+                self.letters.clear()
+            random = np.random.Generator(np.random.PCG64([self.seed, point]))
+            self.letters[point] = (2 * random.integers(0, 2, self.dimensions) - 1).astype("i1")
+        return self.letters[point]
 
     def rows(self, codes: list[int]) -> list[int]:
         known = self.row
         if len(known) + len(codes) > KEPT:
             known.clear()
-        for c in codes:
-            if c not in known:
-                vector = np.ones(self.dimensions, "i1")
-                for k in range(self.n):  # the last letter stands lowest
-                    vector = vector * np.roll(self.letter(c >> 16 * k & 0xFFFF), k)
-                if len(known) == len(self.vectors):
-                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-                self.vectors[len(known)] = vector
-                known[c] = len(known)
+        new = [c for c in codes if c not in known]
+        if len(known) + len(new) > len(self.vectors):
+            more = np.zeros((min(KEPT + len(codes), 2 * (len(known) + len(new))), self.dimensions), "i1")
+            more[: len(self.vectors)] = self.vectors
+            self.vectors = more
+        for c in new:
+            vector = np.ones(self.dimensions, "i1")
+            for k in range(self.n):  # the last letter stands lowest
+                vector = vector * np.roll(self.letter(c >> 21 * k & 0x1FFFFF), k)
+            self.vectors[len(known)] = vector
+            known[c] = len(known)
         return [known[c] for c in codes]
 
     def text(self, text: str) -> np.ndarray | None:
         """The unit vector of a text; None if it has no letter."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        at = self.index[points]
-        if (at == 0).any():
-            for p in np.unique(points[at == 0]).tolist():
-                if chr(p).isalpha() and len(self.points) < 0xFFFF:
-                    self.index[p] = len(self.points)
-                    self.points.append(p)
-                else:
-                    self.index[p] = 1
-            at = self.index[points]
-        at = np.concatenate([[1], at, [1]])
-        at = at[(at != 1) | np.concatenate([[True], at[:-1] != 1])].astype("i8")
+        at = self.letter_of[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
+        at = np.concatenate([[BLANK], at, [BLANK]])
+        at = at[(at != BLANK) | np.concatenate([[True], at[:-1] != BLANK])]
         if at.size < 2:
             return None
         if at.size < self.n:
-            at = np.concatenate([at, np.ones(self.n - at.size, "i8")])
+            at = np.concatenate([at, np.full(self.n - at.size, BLANK)])
         codes = at[: at.size - self.n + 1]
         for k in range(1, self.n):
-            codes = codes << 16 | at[k : at.size - self.n + 1 + k]
+            codes = codes << 21 | at[k : at.size - self.n + 1 + k]
         codes, counts = np.unique(codes, return_counts=True)
         total = np.zeros(self.dimensions, "f4")
         for i in range(0, codes.size, 4096):
@@ -112,11 +121,12 @@ def fit(
 
     A bounded sample is enough for them: of a language with more rows than
     ``rows_per_language`` about that many, chosen by a hash of ``key``, are
-    used.  More than ``most_languages`` different labels are an error, so what
-    comes to the driver is at most that many prototypes.
+    used.  More than ``most_languages`` different labels are no languages but
+    a wrong column, and an error; what comes to the driver is at most that many
+    prototypes.  ``n`` is 3 at most, as an n-gram is one number of 64 bits.
     """
-    known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    per = known.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    known = df.filter(named(lang).isNotNull() & named(text).isNotNull())
+    per = known.groupBy(named(lang).alias("_lang")).agg(F.count("*").alias("_n"))
     found = per.limit(most_languages + 1).collect()
     if len(found) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
@@ -124,8 +134,8 @@ def fit(
     if not bound:
         return Profiles((), np.zeros((0, dimensions), "f4"), dimensions, n, seed)
     pairs = [x for k, v in bound.items() for x in (F.lit(k), F.lit(v))]
-    share = F.element_at(F.create_map(*pairs), F.col(lang))
-    chosen = known.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < share * 1_000_003)
+    share = F.element_at(F.create_map(*pairs), named(lang))
+    chosen = known.filter(F.pmod(F.xxhash64(named(key)), F.lit(1_000_003)) < share * 1_000_003)
 
     def run(batches):
         space, sums = _space(dimensions, n, seed), {}
@@ -135,12 +145,13 @@ def fit(
                 if v is not None:
                     sums.setdefault(k, np.zeros(dimensions, "i8"))
                     sums[k] += np.rint(v.astype("f8") * SCALE).astype("i8")
+        space.forget()
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k] * dimensions), pa.array(np.arange(dimensions, dtype="i4")), pa.array(v)], names=["lang", "dim", "v"]
             )
 
-    parts = chosen.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(run, "lang string, dim int, v bigint")
+    parts = chosen.select(named(lang).cast("string"), named(text)).mapInArrow(run, "lang string, dim int, v bigint")
     sums: dict[str, np.ndarray] = {}
     for r in parts.groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect():  # languages x dimensions
         sums.setdefault(r["lang"], np.zeros(dimensions))[r["dim"]] = r["v"]
@@ -157,7 +168,7 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFra
     Columns of these names are replaced, all others pass unchanged.
     """
     keep, own = [c for c in df.columns if c not in {"lang_pred", "score"}], f"_text{uuid.uuid4().hex}"
-    schema = df.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = df.select(*map(named, keep)).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def run(batches):
         space = _space(profiles.dimensions, profiles.n, profiles.seed)
@@ -172,8 +183,9 @@ def predict(df: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFra
                     names.append(profiles.languages[best] if best >= 0 else "und")
                     scores.append(float(min(1.0, max(0.0, cosines[best]))) if best >= 0 else 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*[s.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    [*[s.column(c) for c in range(len(keep))], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=[*keep, "lang_pred", "score"],
                 )
+        space.forget()
 
-    return df.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)
+    return mapped(df.select(*map(named, keep), named(text).alias(own)), run, schema)

@@ -27,7 +27,7 @@ def test_automaton_equals_library():
     random.seed(3)
     letters = ["a", "b", "th", "e", " ", " ", "\n", ".", "'s", "0", "12", "é", "中", "😀", "<|endoftext|>", "\t", "\x1c", "ing", "-" * 9]
     for text in ["".join(random.choices(letters, k=random.randint(0, 40))) for _ in range(1500)] + ["a" * 700, "ab" * 90, " " * 99]:
-        ids = np.frombuffer(c.encode_all([text])[0], "<i4").tolist()
+        ids = c.encode_all([text])[0][0].tolist()
         assert ids == lib.encode(text, add_special_tokens=False).ids
         assert c.decode(np.array(ids)) == lib.decode(ids, skip_special_tokens=False)
 
@@ -108,6 +108,37 @@ def test_pack_odd_rows(spark, parts):
     assert packing.pack(docs(spark, []), WORD).count() == 0
 
 
+def test_pack_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b"), (None, "a b"), (3, "some words " * 3000), (3, "some words " * 3000), (4, None), (4, None)]
+    df = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD)
+    got = df.collect()
+    assert sum(r.start == 0 for r in got if r.doc_id is None) == 2 and sum(r.start == 0 for r in got if r.doc_id == 4) == 2
+    assert sum(r.length for r in got if r.doc_id == 3) == 2 * next(r.doc_tokens for r in got if r.doc_id == 3)
+
+
+def test_names_with_dots_and_repeated_rows(spark):
+    rows = [(1, "the cat", "x"), (1, "the cat", "x"), (None, "the dog", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = bpe.encode(df, BYTE, decoded=True).collect()
+    assert [(r.doc_id, r.decoded, r["a.b"]) for r in got] == rows
+    assert [r.decoded for r in bpe.decode(bpe.encode(df, BYTE), BYTE).collect()] == [r[1] for r in rows]
+    profiles = langid.fit(df.withColumn("lang", F.lit("en")))
+    assert [(r.doc_id, r.lang_pred, r["a.b"]) for r in langid.predict(df, profiles).collect()] == [(i, "en", x) for i, _, x in rows]
+
+
+def test_langid_ties_go_to_the_first_name(spark):
+    rows = [(i, "same words", k) for i in range(4) for k in ("b", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.predict(df, langid.fit(df)).collect()} == {"a"}
+
+
+def test_letters_met_in_any_order_give_the_same_vectors():
+    one, two = langid.Space(256, 3, 1), langid.Space(256, 3, 1)
+    for p in range(0x4E00, 0x4E00 + 700):
+        two.text(chr(p) * 3)
+    assert np.array_equal(one.text("the cat"), two.text("the cat")) and two.text("中") is not None
+
+
 def test_pack_cuts_few_documents(spark, sf_dir):
     rows = queries.op3_packing(spark, sf_dir).collect()
     assert len(rows) < 2 * len({r.doc_id for r in rows})
