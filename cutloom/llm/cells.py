@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutloom.llm.common import slices
 from cutloom.llm.embdedup import forest
 
 CELL = ["grp", "a", "b"]
@@ -27,7 +28,7 @@ def dealt(members: DataFrame) -> DataFrame:
 
 
 def linked(ids: np.ndarray, weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
-    """(id, smallest id reached or None, weight linked) of a cell's links a-b, given as places; never the links."""
+    """(id, smallest id reached or None, weight linked, None) of a cell's links a-b, given as places; never the links."""
     if not a.size:
         return
     order = np.argsort(ids, kind="stable")
@@ -38,7 +39,20 @@ def linked(ids: np.ndarray, weights: np.ndarray, a: np.ndarray, b: np.ndarray) -
     np.add.at(links, a, weights[b])
     np.add.at(links, b, weights[a])
     for i in np.nonzero(links)[0].tolist():
-        yield int(ids[i]), int(ids[low[i]]) if low[i] != i else None, int(links[i])
+        yield int(ids[i]), int(ids[low[i]]) if low[i] != i else None, int(links[i]), None
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch; lists of numbers stay arrays."""
+    columns = []
+    for c in batch.columns:
+        if pa.types.is_list(c.type) and pa.types.is_integer(c.type.value_type):
+            ends = c.offsets.to_numpy()
+            columns.append(np.split(c.values.to_numpy()[: ends[-1]], ends[1:-1]) if len(c) else [])
+        else:
+            columns.append(c.to_pylist())
+    for row in zip(*columns, strict=True):
+        yield dict(zip(batch.schema.names, row, strict=True))
 
 
 def run_cells(batches: Iterator[pa.RecordBatch], compare: Callable[[list[dict], bool], Iterator[tuple]]) -> Iterator[pa.RecordBatch]:
@@ -47,17 +61,16 @@ def run_cells(batches: Iterator[pa.RecordBatch], compare: Callable[[list[dict],
 
     def done() -> pa.RecordBatch:
         found = list(compare(rows, at[1] == at[2]))
-        cols = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "other", "links"])
-
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            for row in batch.slice(i, 256).to_pylist():
-                place = (row["grp"], row["a"], row["b"])
-                if place != at:
-                    if len(rows) > 1:
-                        yield done()
-                    at, rows = place, []
-                rows.append(row)
+        cols = list(zip(*found, strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "other", "links", "bin"])
+
+    for batch in slices(batches):
+        for row in _rows(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], names=batch.schema.names)):
+            place = (row["grp"], row["a"], row["b"])
+            if place != at:
+                if len(rows) > 1:
+                    yield done()
+                at, rows = place, []
+            rows.append(row)
     if len(rows) > 1:
         yield done()

@@ -68,6 +68,13 @@ def dropped(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def salted(rows: DataFrame, names: DataFrame, key: str, parts: int = 16) -> DataFrame:
+    """``rows`` joined with ``names``, which has one row per key; a key's rows are dealt to ``parts`` groups."""
+    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    return dealt.join(names.withColumn("_salt", salt), [key, "_salt"]).drop("_salt")
+
+
 def _edge_print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 

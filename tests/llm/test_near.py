@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from cutloom.llm import ngramjoin, queries
@@ -78,3 +79,33 @@ def test_op9_recall(spark, sf_dir):
     assert set(got) == set(want)
     assert sum(n for _, n in got.values()) >= 0.98 * sum(n for _, n in want.values())
     assert all(got[i][1] <= want[i][1] for i in want)
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    low, high = np.zeros(ngramjoin.BINS), np.zeros(ngramjoin.BINS)
+    low[800:810], high[990:] = 100, 100
+    assert ngramjoin.shortened(low, 20, 6, 0.999) == 5 and ngramjoin.shortened(low, 20, 6, 0.99) == 6
+    assert ngramjoin.shortened(high, 20, 6, 0.999) == 6 and ngramjoin.shortened(0 * low, 20, 6, 0.999) == 6
+    assert ngramjoin.shortened(low, 5, 6, 0.999) < 4
+
+
+def test_few_trees_still_find_all_links(spark):
+    random.seed(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(30):
+        base = random.choices(words, k=120)
+        rows.append((2 * g, " ".join(base)))
+        base[60:62] = random.choices(words, k=2)
+        rows.append((2 * g + 1, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngramjoin.near_duplicates(df, trees=3).collect())
+    assert got == sorted(brute(rows))
+
+
+def test_equal_ids_of_other_texts_and_null_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, None), (None, a), (4, ""), (1, a)]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0), (None, None, 0), (4, 4, 0)], key=str)
+    assert ngramjoin.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
