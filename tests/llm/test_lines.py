@@ -74,3 +74,11 @@ def test_unique_ids(spark, min_lines):
 
 def test_empty(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_runs_and_dotted_names(spark):
+    long = [f"line number {i} stands here" for i in range(5000)]
+    rows = [(1, "\n".join(long), "x"), (2, "\n".join(["first of all"] + long[100:] + ["end"]), "x"), (3, "\n".join(long[2000:2003]), "y")]
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")).collect()}
+    assert [(got[i].n_lines, got[i].n_removed, got[i].n_runs, got[i]["a.b"]) for i in (1, 2, 3)] == [(5000, 0, 0, "x"), (4902, 4900, 1, "x"), (3, 3, 1, "y")]
+    assert got[2].text == "first of all\nend" and got[3].text == ""
