@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import components, written
+from cutloom.llm.common import components, named, salted, written
 from cutloom.llm.topk import finite
 
 TILE = 1024
@@ -103,21 +103,30 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.98, vec_id: str = "ve
     null, zero, or hold null or non-finite components, rows without label or
     id, and vectors of different lengths link with nothing; equal vectors
     (repeated rows, too) always link.  A row that links with nothing is its own
-    component.  Other columns are ignored.
+    component.  Rows of one vec_id with other vectors are vectors of their own,
+    with the same name.  Other columns are ignored.
 
     A cell holds two tiles of about :data:`TILE` vectors, whatever the size of
     a label; a hot label is many cells.  Links among copies are counted, not listed.
     """
-    x = F.col(vector)
-    rows = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).alias("label"), x.alias("v"))
+    x = named(vector)
+    rows = df.select(named(vec_id).cast("bigint").alias("vec_id"), named(label).alias("label"), x.alias("v"))
     ok = finite(F.col("v")) & F.exists("v", lambda c: c != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    valid = rows.filter("ok").select("vec_id", "label", F.transform("v", lambda c: c.cast("double") + F.lit(0.0)).alias("v"))
-    classes = written(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    plain = F.transform("v", lambda c: c.cast("double") + F.lit(0.0))
+    # Equal vectors of a label have one key of 128 bits.
+    key = F.when(F.coalesce(ok, F.lit(False)), F.unhex(F.md5(F.to_json(F.struct(F.col("label"), plain.alias("v"))))))
+    rows = written(rows.withColumn("key", key))
+    classes = written(
+        rows.filter("key is not null")
+        .groupBy("key")
+        .agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first(plain).alias("v"))
+        .withColumn("id", F.monotonically_increasing_id())
+    )
     many = classes.groupBy("label", F.size("v").alias("width")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    # One row per label and width; a hot label's classes are dealt to parts for the join.
     dealt = (
-        classes.withColumn("width", F.size("v"))
-        .join(many, ["label", "width"])
+        salted(classes.withColumn("at", F.struct("label", F.size("v").alias("width"))), many.select(F.struct("label", "width").alias("at"), "tiles"), "at")
+        .withColumn("width", F.col("at.width"))
         .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
@@ -157,15 +166,12 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.98, vec_id: str = "ve
     found = written(dealt.repartition(*cell).sortWithinPartitions(*cell, "tile", "id").mapInArrow(run, "id bigint, other bigint, links bigint"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.filter("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
-    per = (
-        classes.join(links, "id", "left")
-        .join(joined.withColumnRenamed("node", "id"), "id", "left")
-        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    key = F.when(F.col("ok"), F.transform("v", lambda c: c.cast("double") + F.lit(0.0)))
+    own = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = written(own.join(links, "id", "left").select("key", "component", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    per = salted(own, own.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("key", "n_links", "component_id")
     return (
-        rows.withColumn("v", key)
-        .join(per, ["label", "v"], "left")
+        rows.select("vec_id", "key")
+        .join(per, "key", "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
