@@ -1,11 +1,14 @@
 """Personal data: patterns, and terms that disclose it by information content.
 
-Base entities (email, ip, card, phone) are found by patterns.  Over the corpus,
-a term's co-occurrence with a kind of entity estimates how strongly it reveals
-that one stood there: the pointwise mutual information PMI(t; k) as a share of
-the kind's information content IC(k) = -log2 p(k).  Terms whose share reaches
-the disclosure threshold are spans of kind ``term`` in documents that hold the
-kind.  :func:`sanitise` generalises all spans.  DataFrame operations only.
+Base entities (email, ip, card, phone) are found by patterns.  Secrets are
+further protected entities: long runs of key characters whose information
+content, by the frequencies of their own characters, is that of a random key.
+Over the corpus, a term's co-occurrence with a kind of entity estimates how
+strongly it reveals that one stood there: the pointwise mutual information
+PMI(t; k) as a share of the kind's information content IC(k) = -log2 p(k).
+Terms whose share reaches the disclosure threshold are spans of kind ``term``
+wherever they stand.  :func:`sanitise` generalises all spans.  DataFrame
+operations only.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutloom.llm.common import written
+from cutloom.llm.common import dropped, named, written
 
 # What base entities look like, in their order.  Each pattern is
 # the plain one with marks that spare the search dead ends: a match can only
@@ -26,7 +29,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-RANK = {k: i for i, k in enumerate([*PATTERNS, "term"])}
+SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"
+RANK = {k: i for i, k in enumerate([*PATTERNS, "secret", "term"])}
+#: The least information of a secret's characters, in bits all and each.
+SECRET_BITS, CHARACTER_BITS = 64.0, 3.0
 WORD = r"[A-Za-z\x80-\x{10FFFF}]++"
 NO_WORD = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -86,6 +92,25 @@ HINT = {
 }
 
 
+def _bits(x: Column) -> Column:
+    """Information of a string's characters in bits, by their frequencies in it."""
+    size = F.length(x)
+    counts = F.transform(F.array_distinct(F.split(x, "")), lambda c: F.when(c == "", F.lit(0)).otherwise(size - F.length(F.replace(x, c))))
+    return F.aggregate(counts, F.lit(0.0), lambda a, n: a + F.when(n > 0, -n * F.log2(n / size)).otherwise(F.lit(0.0)))
+
+
+def secret_spans(text: Column) -> Column:
+    """Runs of key characters with letters and digits that are as surprising as a random key."""
+    ok = lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (_bits(x) >= F.greatest(F.lit(SECRET_BITS), CHARACTER_BITS * F.length(x)))
+    found = F.filter(_matches(text, SECRET, "secret"), lambda m: ok(m["hit"]))
+    found = F.transform(found, lambda m: F.struct(m["start"], m["rank"], m["end"], m["kind"]))
+    return F.when(text.rlike("[A-Za-z0-9_+/=-]{20}"), found).otherwise(F.array().cast(SPANS))
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    return F.filter(spans, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+
+
 def base_spans(text: Column) -> Column:
     """The base entities of a text, by start, then kind."""
     none = F.array().cast(SPANS)
@@ -100,7 +125,7 @@ def _valid(text: Column, pattern: str, kind: str) -> Column:
     return F.transform(kept, lambda m: F.struct(m["start"], m["rank"], m["end"], m["kind"]))
 
 
-def disclosing_terms(df: DataFrame, *, text: str = "text", spans: str = "base", threshold: float = 0.9, support: int = 5) -> DataFrame:
+def disclosing_terms(df: DataFrame, *, text: str = "text", threshold: float = 0.9, support: int = 5) -> DataFrame:
     """(term, kind, share): terms whose PMI with a kind of entity is at least ``threshold`` of its information content.
 
     The corpus is its different lines: p(term), p(kind) and p(term, kind) are
@@ -108,30 +133,26 @@ def disclosing_terms(df: DataFrame, *, text: str = "text", spans: str = "base",
     than ``support`` lines with both, or fewer than ``support`` different texts
     that hold such lines, are no evidence.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    split = F.explode(F.split(body, "\n")).alias("line")
-    of_texts = df.filter(F.size(spans) > 0).select(F.xxhash64(body).alias("of"), split).filter(F.col("line").rlike("[0-9@]"))
-
-    def near(lines: DataFrame, *keep: str) -> DataFrame:
-        blank = F.col("line")
-        for pattern in PATTERNS.values():
-            blank = F.regexp_replace(blank, pattern, " ")
-        kinds = F.array_distinct(F.transform(base_spans(F.col("line")), lambda s: s["kind"]))
-        # The empty term stands for any: it counts the kind's lines.
-        terms = F.array_union(F.array_distinct(F.split(F.lower(blank), NO_WORD)), F.array(F.lit("")))
-        return (
-            lines.select(*keep, kinds.alias("kinds"), terms.alias("terms"))
-            .filter(F.size("kinds") > 0)
-            .select(*keep, "kinds", F.explode("terms").alias("term"))
-            .filter((F.length("term") >= 3) | (F.col("term") == ""))
-            .select(*keep, F.explode("kinds").alias("kind"), "term")
-        )
-
-    both = written(near(of_texts.select("line").distinct()).groupBy("term", "kind").agg(F.count("*").alias("both")).filter(F.col("both") >= support))
+    body = F.coalesce(named(text), F.lit(""))
+    lines = df.select(body.alias("body")).select(F.xxhash64("body").alias("of"), F.explode(F.split("body", "\n")).alias("line"))
+    hinted = lines.filter(F.col("line").rlike("[0-9@]"))
+    blank = F.col("line")
+    for pattern in [*PATTERNS.values(), SECRET]:
+        blank = F.regexp_replace(blank, pattern, " ")
+    spans = F.concat(base_spans(F.col("line")), secret_spans(F.col("line")))
+    # The empty term stands for any: it counts the kind's lines.
+    terms = F.array_union(F.filter(F.array_distinct(F.split(F.lower(blank), NO_WORD)), lambda t: F.length(t) >= 3), F.array(F.lit("")))
+    near = written(
+        hinted.withColumn("kinds", F.array_distinct(F.transform(spans, lambda s: s["kind"])))
+        .filter(F.size("kinds") > 0)
+        .select("of", F.unhex(F.md5("line")).alias("line"), "kinds", terms.alias("terms"))
+    )
+    pairs = lambda rows, *keep: rows.select(*keep, "kinds", F.explode("terms").alias("term")).select(*keep, F.explode("kinds").alias("kind"), "term")
+    both = written(pairs(near.dropDuplicates(["line"])).groupBy("term", "kind").agg(F.count("*").alias("both")).filter(F.col("both") >= support))
     kinds = both.filter("term = ''").select("kind", F.col("both").alias("of_kind"))
     words = F.array_union(F.array_distinct(F.split(F.lower("line"), NO_WORD)), F.array(F.lit("")))
     # Counted before the join, as only counts combine before a shuffle.
-    often = df.select(split).filter("line <> ''").distinct().select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    often = lines.filter("line <> ''").select("line").distinct().select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     often = written(often.join(both.select("term").distinct(), "term", "left_semi"))
     total = often.filter("term = ''").select(F.col("n").alias("total"))
     p_kind = F.col("of_kind") / F.col("total")
@@ -145,47 +166,43 @@ def disclosing_terms(df: DataFrame, *, text: str = "text", spans: str = "base",
         .select("term", "kind", share.alias("share"))
         .filter(F.col("share") >= threshold)
     )
-    if likely.isEmpty():
-        return likely
-    texts = near(of_texts.distinct(), "of").join(likely, ["term", "kind"]).groupBy("term", "kind", "share").agg(F.count_distinct("of").alias("texts"))
-    return texts.filter(F.col("texts") >= support).select("term", "kind", "share")
+    texts = pairs(near, "of").join(likely, ["term", "kind"]).groupBy("term", "kind", "share").agg(F.count_distinct("of").alias("texts"))
+    out = written(texts.filter(F.col("texts") >= support).select("term", "kind", "share"))
+    for used in (near, both, often, likely):
+        dropped(used)
+    return out
 
 
 def find(df: DataFrame, *, text: str = "text", threshold: float = 0.9, support: int = 5) -> DataFrame:
-    """``df`` with ``base`` and ``spans``: the base entities, and these with disclosing terms.
+    """``df`` with ``base`` and ``spans``: the base entities, and these with secrets and disclosing terms.
 
     Spans are structs (start, rank, end, kind) in code points, end exclusive,
-    by start and then kind; a term span never overlaps a base one.  Null texts
-    count as empty.  Every row is judged on its own text, so repeated rows and
-    null ids stay; columns of the added names are replaced, others pass.
+    by start and then kind; a secret never overlaps a base entity, a term none
+    of the others.  Every document that holds a disclosing term has it as a
+    span, with or without an entity.  Null texts count as empty.  Every row is
+    judged on its own text, so repeated rows and null ids stay; columns of the
+    added names are replaced, others pass.
     """
     keep = [c for c in df.columns if c not in {"base", "spans"}]
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = df.select(*keep, base_spans(body).alias("base"))
-    terms = written(disclosing_terms(own, text=text, threshold=threshold, support=support))
-    if terms.isEmpty():
-        return own.withColumn("spans", F.col("base"))
-    tag, terms_of = f"_k{uuid.uuid4().hex}", f"_t{uuid.uuid4().hex}"  # names that no column has
-    key = F.when(F.size("base") > 0, F.struct(F.xxhash64(body).alias("a"), F.md5(body).alias("b")))
-    keyed = own.withColumn(tag, key)
-    hits = (
-        keyed.filter(F.col(tag).isNotNull())
-        .select(tag, F.array_distinct(F.transform("base", lambda s: s["kind"])).alias("kinds"), F.explode(F.array_distinct(F.split(F.lower(body), NO_WORD))).alias("term"))
-        .join(terms.groupBy("term").agg(F.collect_set("kind").alias("of")), "term")
-        .filter(F.arrays_overlap("kinds", "of"))
-        .groupBy(tag)
-        .agg(F.collect_set("term").alias(terms_of))
-    )
-    free = F.filter(
-        _matches(body, WORD, "term"),
-        lambda m: F.array_contains(F.col(terms_of), F.lower(m["hit"]))
-        & ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
+    row, own = f"_r{uuid.uuid4().hex}", f"_b{uuid.uuid4().hex}"  # names that no column has
+    body = F.col(own)
+    terms = disclosing_terms(df, text=text, threshold=threshold, support=support)
+    held = df.select(F.struct(*map(named, keep)).alias(row), F.coalesce(named(text), F.lit("")).alias(own))
+    key = F.struct(F.xxhash64(body).alias("a"), F.md5(body).alias("b"))
+    # Which texts hold which terms: a table, so that its size decides how it is joined.
+    hits = written(
+        held.select(key.alias("key"), F.explode(F.array_distinct(F.split(F.lower(body), NO_WORD))).alias("term"))
+        .join(terms.select("term").distinct(), "term")
+        .groupBy("key")
+        .agg(F.collect_set("term").alias("terms"))
     )
+    joined = held.join(hits.select("terms", F.col("key").alias("key")), key == F.col("key"), "left")
+    spans = joined.select(row, own, "terms", base_spans(body).alias("base"), secret_spans(body).alias("secrets"))
+    spans = spans.select(row, own, "terms", "base", F.when(F.size("secrets") > 0, F.array_sort(F.concat("base", _apart(F.col("secrets"), F.col("base"))))).otherwise(F.col("base")).alias("safe"))
+    free = _apart(F.filter(_matches(body, WORD, "term"), lambda m: F.array_contains("terms", F.lower(m["hit"]))), F.col("safe"))
     plain = F.transform(free, lambda m: F.struct(m["start"], m["rank"], m["end"], m["kind"]))
-    some = keyed.filter(F.col(tag).isNotNull()).join(hits, tag, "left")
-    with_terms = some.withColumn("spans", F.when(F.col(terms_of).isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", plain))))
-    without = keyed.filter(F.col(tag).isNull()).withColumn("spans", F.col("base"))
-    return with_terms.select(*keep, "base", "spans").unionByName(without.select(*keep, "base", "spans"))
+    whole = F.when(F.col("terms").isNull(), F.col("safe")).otherwise(F.sort_array(F.concat("safe", plain)))
+    return spans.select(*[F.col(row).getField(c).alias(c) for c in keep], "base", whole.alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -199,7 +216,7 @@ def sanitise(df: DataFrame, *, text: str = "text", threshold: float = 0.9, suppo
     Overlapping spans become one, named after the first.  Null texts stay null.
     """
     found = find(df, text=text, threshold=threshold, support=support)
-    body = F.col(text)
+    body = named(text)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
@@ -209,4 +226,5 @@ def sanitise(df: DataFrame, *, text: str = "text", threshold: float = 0.9, suppo
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(body)).select(*df.columns)
+    new = F.when(F.size("spans") > 0, done).otherwise(body)
+    return found.select(*[new.alias(c) if c == text else named(c) for c in found.columns if c in df.columns])

@@ -33,6 +33,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count("base", k).alias(f"n_{k}") for k in pii.PATTERNS],
         F.sha2(pii.listed("base"), 256).alias("base_sha256"),
         pii.listed("spans").alias("spans"),
+        _count("spans", "secret").alias("n_secret"),
+        _count("spans", "term").alias("n_term"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -65,8 +65,7 @@ def test_disclosing_terms(spark):
     rows += [(400 + i, "copied zebra: b@mail.de") for i in range(30)]  # one line, however often copied
     rows += [(500, None), (501, ""), (0, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    base = df.withColumn("base", pii.base_spans(F.coalesce("text", F.lit(""))))
-    found = {r.term for r in pii.disclosing_terms(base).collect()}
+    found = {r.term for r in pii.disclosing_terms(df).collect()}
     assert found == {"kontakt", "über"}
     got = pii.find(df).collect()
     assert len(got) == len(rows)
@@ -88,7 +87,7 @@ def test_terms_count_by_lines_and_texts(spark):
     rows += [(2000, "\n".join(f"einmal x{i}@mail.de" for i in range(8)))]  # many lines of one text are no evidence
     rows += [(2001, rows[-1][1])]
     rows += [(3000 + i, f"nothing here {i}") for i in range(2000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", pii.base_spans(F.col("text")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     found = [tuple(r) for r in pii.disclosing_terms(df).collect()]
     assert [f[:2] for f in found] == [("signal", "email")] and abs(found[0][2] - 1) < 1e-9
 
@@ -96,3 +95,21 @@ def test_terms_count_by_lines_and_texts(spark):
 def test_overlapping_spans_become_one(spark):
     df = spark.createDataFrame([(1, "é 4111111111111111@x.de, +4111111111111111!")], "doc_id long, text string")
     assert pii.sanitise(df).first().text == "é [EMAIL], +[CARD]!"
+
+
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def test_secrets_and_terms_in_documents_without_entities(spark):
+    rows = [(i, f"some words apikey = \"{KEY[i:]}{KEY[:i]}\" more") for i in range(12)]
+    rows += [(100, "an apikey of nobody"), (101, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 " + "ab1" * 20), (102, "internationalisation-of-long-words-is-none")]
+    rows += [(200 + i, f"plain words here {i} some more") for i in range(300)]
+    rows += [(600, f"{KEY}@mail.de"), (601, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `a.b` string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert all([s.kind for s in got[i].spans] == ["term", "secret"] for i in range(12))
+    assert [(s.kind, s.start, s.end) for s in got[100].spans] == [("term", 3, 9)]
+    assert not got[101].spans and not got[102].spans and not got[601].spans and not any(got[200 + i].spans for i in range(300))
+    assert [s.kind for s in got[600].spans] == ["email"] and got[600]["a.b"] == "x"
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == 'some words [TERM] = "[SECRET]" more' and clean[601] is None
