@@ -149,15 +149,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licenses_sql() -> str:
-    """Brute force: every line against every template."""
-    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in licenses.TEMPLATES.items())
+    """Brute force: every window of every text against every template of its size."""
+    size, need = licenses.width_of, licenses.DECIDING
+    templates = ", ".join(f"('{label}', {size(t)}, {sorted(set(t.split()))}, {need.get(label, '')!r})" for label, t in licenses.TEMPLATES.items())
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
     lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
     words = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     return f"""
-WITH t(label, words) AS (VALUES {templates}), p(words, label) AS (VALUES {phrases}),
+WITH t(label, width, words, need) AS (VALUES {templates}), p(words, label) AS (VALUES {phrases}),
 d AS (SELECT doc_id, row_number() OVER () AS k, {lower} AS text FROM documents),
-w AS (SELECT doc_id, k, text, {words.format("text")} AS words FROM d),
+w AS (SELECT doc_id, k, {words.format("text")} AS words FROM d),
 b AS (
   SELECT k, label, i FROM (SELECT k, words AS dw, unnest(range(len(words))) AS i FROM w), p
   WHERE dw[i + 1] = p.words[1] AND dw[i + 1 : i + len(p.words)] = p.words
@@ -165,17 +166,22 @@ b AS (
 bb AS (
   SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY k
 ),
-l AS (SELECT k, {words.format("line")} AS words FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM w)),
+s AS (
+  SELECT k, words, width, unnest(range(greatest(0, len(words) - width - 1) // width + 1)) AS i
+  FROM w, (SELECT DISTINCT width FROM t)
+),
+l AS (SELECT k, width, i, words[i * width + 1 : (i + 2) * width] AS words FROM s),
 m AS (
-  SELECT k, list(DISTINCT label) AS labels, max(part) AS part FROM (
-    SELECT l.k, t.label, len(list_intersect(t.words, l.words)) / len(t.words) AS part FROM l, t
-  ) WHERE part >= 0.8 GROUP BY k
-)
+  SELECT l.k, l.width, l.i, t.label, len(list_intersect(t.words, l.words)) / len(t.words) AS part FROM l JOIN t USING (width)
+  WHERE (need = '' OR list_contains(l.words, need)) AND len(list_intersect(t.words, l.words)) >= 0.8 * len(t.words) - 1e-9
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY k, width, i ORDER BY part DESC, label) AS place FROM m),
+n AS (SELECT k, list(DISTINCT label) AS labels, max(part) AS part FROM o WHERE place = 1 GROUP BY k)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(bb.labels, ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(bb.labels, m.labels))), ','), '') AS labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(bb.labels, n.labels))), ','), '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0) END AS score
-FROM w LEFT JOIN bb USING (k) LEFT JOIN m USING (k)
+FROM w LEFT JOIN bb USING (k) LEFT JOIN n USING (k)
 """
 
 
