@@ -1,7 +1,17 @@
-"""A corpus, stage by stage, from documents to packed training sequences."""
+"""A corpus, stage by stage, from documents to packed training sequences.
+
+Every stage but the last returns the columns of its documents, with their types,
+whatever further columns there are.  Null ids and repeated rows pass every
+stage but the n-gram join, which keeps one of equal documents, and all without
+an id; null and empty texts, which have no language, go at the first stage; an
+empty table gives an empty one.  Of ties the smallest document id stays.
+"""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +25,27 @@ MIN_COSINE = 0.1
 LEAST_LETTERS = 100
 
 
+#: Columns that the stages themselves read.
+READ = {"doc_id", "text", "lang", "n_chars"}
+
+
+def _kept(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that leaves all other columns of the documents alone, whatever their names: they travel under names of no operator."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        safe = [c if c in READ else f"own_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*safe), sf_dir).select(*safe).toDF(*docs.columns)
+
+    return run
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows a changed text."""
     return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
+@_kept
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without letters, and those long enough to judge that are like no prototype, go."""
     found = langid.predict(docs, langid.fit(docs))
@@ -28,12 +54,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != "und") & ((F.col("score") >= MIN_COSINE) | short)).select(*docs.columns)
 
 
+@_kept
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated lines; those of which nothing is left go."""
     found = lines.dedup(docs)
     return _sized(found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))).select(*docs.columns)
 
 
+@_kept
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; those without id stay."""
     groups = ngramjoin.near_duplicates(docs)
@@ -42,6 +70,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
+@_kept
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that disclose it, generalised."""
     return _sized(pii.sanitise(docs)).select(*docs.columns)
