@@ -146,9 +146,9 @@ def frames(t: Tables) -> DataFrame:
 
 
 @query("n02_onsets", FRAMES + """, d AS (SELECT media_id, frame_no, greatest(0.0, coalesce(ln(1 + rms * 100) - lag(ln(1 + rms * 100)) OVER (PARTITION BY media_id ORDER BY frame_no), 0.0)) AS d FROM frames)
-SELECT media_id, frame_no, round((d - avg(d) OVER (PARTITION BY media_id)) / (stddev_pop(d) OVER (PARTITION BY media_id) + 1e-9), 4) + 0.0 AS onset FROM d WHERE true QUALIFY frame_no % 5 = 0""")
+SELECT media_id, frame_no, round((d - avg(d) OVER (PARTITION BY media_id)) / (stddev_pop(d) OVER (PARTITION BY media_id) + 1e-9), 4) + 0.0 AS onset FROM d""")
 def n02(t: Tables) -> DataFrame:
-    return audio.onsets(frames(t)).filter("frame_no % 5 = 0").withColumn("onset", F.round("onset", 4) + 0.0)
+    return audio.onsets(frames(t)).withColumn("onset", F.round("onset", 4) + 0.0)
 
 
 PAIRS = """, pairs AS (SELECT media_id, seg_id AS pair_no, end_ms AS a_ms, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seg_id) AS b_ms FROM segments), pp AS (SELECT * FROM pairs WHERE b_ms IS NOT NULL)
