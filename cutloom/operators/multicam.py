@@ -33,10 +33,6 @@ class Camera:
     offset_ms: int = 0
     duration_ms: int | None = None
 
-    def covers(self, t: float) -> bool:
-        at = t - self.offset_ms
-        return at >= 0 and (self.duration_ms is None or at <= self.duration_ms)
-
 
 def united(turns: list[tuple[str, int, int]], gap_ms: int = 400) -> dict[str, list[list[int]]]:
     """Each speaker's intervals, small gaps closed; speakers in the order of their first word."""
@@ -59,104 +55,132 @@ class Planner:
     def close(self, speaker: str) -> int:
         return next((i for i, c in enumerate(self.cameras) if c.role != "wide" and speaker in c.speakers), self.fallback)
 
-    def wanted(self, intervals: dict[str, list[list[int]]], start: int, end: int) -> list[int]:
-        """The camera at each step of the grid.
+    def wanted(self, intervals: dict[str, list[list[int]]], start: int, end: int) -> list[np.ndarray]:
+        """Arrays of cameras, starts and ends: the camera wanted on the grid, in stretches where it stays the same.
 
-        Who speaks, and who is about to or has just spoken, is looked up for
-        all steps at once; only the camera held from the step before is carried.
+        Edges of turns, of their rolls and of the cameras' recordings are put on
+        the grid; between two of them nothing changes, so every rule is decided
+        once a stretch.  An overlap or a silence that lasts long enough adds the
+        place where it does.
         """
         r = self.rules
-        t = start + r.step * np.arange(max(1, round((end - start) / r.step)))
-        names = list(intervals)
-        speaking, near, ahead = (np.zeros((len(names), t.size), bool) for _ in range(3))
-        for k, name in enumerate(names):
-            s, e = (np.array(x) for x in zip(*intervals[name], strict=True))
-            i = np.searchsorted(e, t, side="left")
-            ok = i < s.size
-            speaking[k, ok] = (t[ok] >= s[i[ok]]) & (t[ok] < e[i[ok]])
-            i = np.searchsorted(e + r.post_roll, t, side="left")
-            ok = i < s.size
-            near[k, ok] = (t[ok] >= s[i[ok]] - r.pre_roll) & (t[ok] < e[i[ok]] + r.post_roll)
-            ahead[k, ok] = near[k, ok] & (s[i[ok]] > t[ok])
-        if not names:
-            speaking = near = ahead = np.zeros((1, t.size), bool)
-            names = [""]
-        count, quiet, coming = speaking.sum(axis=0).tolist(), (~near.any(axis=0)).tolist(), ahead.any(axis=0).tolist()
-        close = [self.close(n) for n in names]
-        now, soon = speaking.argmax(axis=0).tolist(), ahead.argmax(axis=0).tolist()
-        always = [c.offset_ms <= start and (c.duration_ms is None or end - c.offset_ms <= c.duration_ms) for c in self.cameras]
-        steps, held, overlap, silence = [], None, None, None
-        for k, at in enumerate(t.tolist()):
-            want = held
-            if count[k] >= 2:
-                overlap, silence = at if overlap is None else overlap, None
-                if r.overlap_wide and self.wide is not None and at - overlap >= r.overlap_min:
-                    want = self.wide
-            else:
-                overlap = None
-                silence = None if count[k] or not quiet[k] else at if silence is None else silence
-                if count[k]:
-                    want = close[now[k]]
-                elif coming[k]:
-                    want = close[soon[k]]
-                elif silence is not None and self.wide is not None and at - silence >= r.silence_to_wide:
-                    want = self.wide
-            want = self.fallback if want is None else want
-            if not always[want] and not self.cameras[want].covers(at):
-                want = next((i for i in [self.fallback, *range(len(self.cameras))] if self.cameras[i].covers(at)), want)
-            held = want
-            steps.append(want)
-        return steps
-
-    def runs(self, steps: list[int], start: int, end: int) -> list[list]:
-        """[camera, start, end] of equal steps, the last until the end."""
-        edges = [i for i in range(len(steps)) if i == 0 or steps[i] != steps[i - 1]] + [len(steps)]
-        out = [[steps[a], start + a * self.rules.step, start + b * self.rules.step] for a, b in zip(edges, edges[1:], strict=False)]
-        if out:
-            out[-1][2] = end
+        n = max(1, round((end - start) / r.step))
+        places, speaking, near, ahead = [np.zeros(1, np.int64)], [], [], []
+
+        def on_grid(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ab = tuple(np.clip(-((start - np.asarray(x, np.int64)) // r.step), 0, n) for x in (a, b))
+            places.extend(ab)
+            return ab
+
+        for own in intervals.values():
+            s, e = np.array(own, np.int64).T
+            rolled = np.concatenate([[np.iinfo(np.int32).min], e[:-1] + r.post_roll + 1])
+            speaking.append(on_grid(s, e))
+            near.append(on_grid(s - r.pre_roll, e + r.post_roll))
+            ahead.append(on_grid(np.maximum(s - r.pre_roll, rolled), s))
+        recorded = [on_grid([c.offset_ms], [end + r.step if c.duration_ms is None else c.offset_ms + c.duration_ms + 1]) for c in self.cameras]
+        at = np.unique(np.concatenate(places))
+        at = at[at < n]
+
+        def holds(spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            """One row per item: in which stretches one of its spans is open."""
+            change = np.zeros((len(spans), at.size + 1), np.int64)
+            for row, (a, b) in zip(change, spans, strict=True):
+                np.add.at(row, np.searchsorted(at, a), 1)
+                np.add.at(row, np.searchsorted(at, b), -1)
+            return change.cumsum(axis=1)[:, :-1] > 0
+
+        speaks, comes, covered = holds(speaking), holds(ahead), holds(recorded)
+        together, quiet = speaks.sum(axis=0) >= 2, ~holds(near).any(axis=0)
+        late = []
+        for state, wait in ((together, r.overlap_min), (quiet, r.silence_to_wide)):
+            since = np.flatnonzero(state & ~np.concatenate([[False], state[:-1]]))
+            late.append((at[since], at[since] - -wait // r.step))
+        finer = np.unique(np.concatenate([at, *(x[x < n] for _, x in late)]))
+        of = np.searchsorted(at, finer, side="right") - 1
+        at, together, quiet = finer, together[of], quiet[of]
+        lasting = []
+        for begun, reached in late:
+            i = np.searchsorted(begun, at, side="right") - 1
+            lasting.append((i >= 0) & (at >= reached[i]) if begun.size else np.zeros(at.size, bool))
+
+        hold = -1
+        want = np.full(at.size, hold)
+        if intervals:
+            close = np.array([self.close(name) for name in intervals])
+            one, soon = speaks.any(axis=0)[of] & ~together, comes.any(axis=0)[of]
+            want = np.where(soon, close[comes.argmax(axis=0)[of]], want)
+            want = np.where(one, close[speaks.argmax(axis=0)[of]], np.where(together, hold, want))
+        if self.wide is not None:
+            wide = quiet & lasting[1] | (together & lasting[0] if r.overlap_wide else False)
+            want = np.where(wide, self.wide, want)
+        if covered.all():
+            last = np.maximum.accumulate(np.where(want == hold, -1, np.arange(at.size)))
+            cams = np.where(last < 0, self.fallback, want[last])
+        else:
+            cams = self._recorded(want, covered[:, of], hold)
+        new = np.flatnonzero(np.concatenate([[True], cams[1:] != cams[:-1]]))
+        begins = start + r.step * at[new]
+        return [cams[new], begins, np.append(begins[1:], end)]
+
+    def _recorded(self, want: np.ndarray, covered: np.ndarray, hold: int) -> np.ndarray:
+        """Wanted cameras where some don't record: the fallback or the first that does stands in, and is what is held on."""
+        stands_in = np.where(covered[self.fallback], self.fallback, np.where(covered.any(axis=0), covered.argmax(axis=0), hold))
+        cams, now = want.copy(), self.fallback
+        for i, (w, other) in enumerate(zip(want.tolist(), stands_in.tolist(), strict=True)):
+            now = now if w == hold else w
+            now = now if covered[now, i] or other == hold else other
+            cams[i] = now
+        return cams
+
+    def long_enough(self, cams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Runs without those shorter than a shot: they belong to the last run before that is none, at the beginning to the first after.
+
+        The first run that ends a shot's length after the beginning takes all
+        before it; from there on a run goes on by itself if it is long and its
+        camera is not the one of the last long run.
+        """
+        shot = self.rules.min_shot
+        first = min(int(np.searchsorted(ends - starts[0], shot)), cams.size - 1)
+        long = np.flatnonzero(ends - starts >= shot)
+        long = np.concatenate([[first], long[long > first]])
+        kept = long[np.concatenate([[True], cams[long][1:] != cams[long][:-1]])]
+        begins = np.concatenate([starts[:1], starts[kept[1:]]])
+        return [cams[kept], begins, np.append(begins[1:], ends[-1])]
+
+    def with_cutaways(self, cams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
+        """(camera, start, end, cutaway): reactions at even distances in long close runs, where both sides stay a shot long."""
+        out = []
+        for cam, a, b in zip(cams.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            places = self._reactions(cam, a, b)
+            edges = [a, *(int(x) for place in places for x in place), b]
+            other = self.reaction_of(cam)
+            out += [(other if i % 2 else cam, x, y, bool(i % 2)) for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False))]
         return out
 
-    def long_enough(self, runs: list[list]) -> list[list]:
-        """The first run that is too short goes to the one before it (the very first to the next), until none is."""
-        while len(runs) > 1:
-            short = next((i for i, r in enumerate(runs) if r[2] - r[1] < self.rules.min_shot), None)
-            if short is None:
-                break
-            if short:
-                runs[short - 1][2] = runs[short][2]
-            else:
-                runs[1][1] = runs[0][1]
-            del runs[short]
-            equal = [runs[0]]
-            for r in runs[1:]:
-                if r[0] == equal[-1][0]:
-                    equal[-1][2] = r[2]
-                else:
-                    equal.append(r)
-            runs = equal
-        return runs
-
-    def with_cutaways(self, runs: list[list]) -> list[tuple]:
-        """(camera, start, end, cutaway): long close runs interrupted by evenly spaced reactions."""
-        r, out = self.rules, []
-        for cam, a, b in runs:
-            other = self.wide if self.wide is not None else next((i for i in range(len(self.cameras)) if i != cam), None)
-            if self.cameras[cam].role == "wide" or b - a <= r.max_shot or other is None or other == cam:
-                out.append((cam, a, b, False))
-                continue
-            pieces, s = int((b - a) // r.max_shot), a
-            for k in range(1, pieces + 1):
-                middle = a + (b - a) * k / (pieces + 1)
-                x, y = middle - r.reaction / 2, middle + r.reaction / 2
-                if x - s >= r.min_shot and b - y >= r.min_shot and self.cameras[other].covers(x) and self.cameras[other].covers(y):
-                    out += [(cam, s, round(x), False), (other, round(x), round(y), True)]
-                    s = round(y)
-            out.append((cam, s, b, False))
-        return out
+    def reaction_of(self, cam: int) -> int | None:
+        """The camera that a long run of ``cam`` is interrupted by."""
+        others = [i for i in range(len(self.cameras)) if i != cam]
+        return self.wide if self.wide is not None else others[0] if others else None
+
+    def _reactions(self, cam: int, a: int, b: int) -> list[tuple[float, float]]:
+        r, other = self.rules, self.reaction_of(cam)
+        if self.cameras[cam].role == "wide" or other in (None, cam) or b - a <= r.max_shot:
+            return []
+        n = int((b - a) // r.max_shot)
+        x = a + (b - a) * np.arange(1, n + 1) / (n + 1) - r.reaction / 2
+        y = x + r.reaction
+        c = self.cameras[other]
+        fit = (b - y >= r.min_shot) & (x >= c.offset_ms) & (c.duration_ms is None or y <= c.offset_ms + c.duration_ms)
+        x, y = x[fit], y[fit]
+        kept, i = [], int(np.searchsorted(x, a + r.min_shot))
+        while i < x.size:
+            kept.append((np.rint(x[i]), np.rint(y[i])))
+            i = int(np.searchsorted(x, kept[-1][1] + r.min_shot))
+        return kept
 
     def plan(self, turns: list[tuple[str, int, int]], start: int, end: int, gap_ms: int = 400) -> list[tuple]:
-        steps = self.wanted(united(turns, gap_ms), start, end)
-        return self.with_cutaways(self.long_enough(self.runs(steps, start, end)))
+        return self.with_cutaways(*self.long_enough(*self.wanted(united(turns, gap_ms), start, end)))
 
 
 def planned_runs(spans: DataFrame, turns: DataFrame, cameras: list[Camera], rules: Rules = Rules()) -> DataFrame:
