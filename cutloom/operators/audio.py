@@ -87,3 +87,31 @@ def resampled(keys: DataFrame, step_ms: int = 250) -> DataFrame:
     grid = g.select("path_id", "t_ms", (F.col("_va") + F.coalesce((F.col("_vb") - F.col("_va")) * part, F.lit(0.0))).alias("v"))
     end = k.filter(F.col("_b").isNull() & ((F.col("_a") - F.col("_s")) % step_ms != 0)).select("path_id", F.col("_a").alias("t_ms"), F.col("_va").alias("v"))
     return grid.unionByName(end)
+
+
+def refined_edges(points: DataFrame, frames: DataFrame, hop_ms: int, *, around_ms: int = 1500, least: int = 3, room_ms: int = 30) -> DataFrame:
+    """``points`` (media_id, point_no, at_ms, at_end, extend_ms, fallback_ms) with time_ms and clean.
+
+    An edge moves outward, to later times where ``at_end``, to the first
+    ``least`` quiet frames within ``extend_ms`` and keeps ``room_ms`` of them;
+    if there are none, to the quietest frame within ``fallback_ms``.  It never
+    moves inward.  Quiet is the lowest quarter between the levels (10th and 95th
+    percentile) around the edge; without frames an edge stays.
+    """
+    key = ["media_id", "point_no"]
+    f = frames.select("media_id", "frame_no", "rms", (F.col("frame_no") * hop_ms).alias("_ft"), (20 * F.log10(F.greatest(F.col("rms"), F.lit(1e-7)))).alias("_db"))
+    wide = F.col("extend_ms") + around_ms
+    met = intervals.overlap_join(points.withColumns({"_lo": F.col("at_ms") - wide, "_hi": F.col("at_ms") + wide - hop_ms}), f, ["media_id"], "_lo", "_hi", "_ft", "_ft")
+    level = met.groupBy(*key).agg(F.percentile("_db", F.array(F.lit(0.1), F.lit(0.95))).alias("_p"))
+    away = F.when(F.col("at_end"), 1).otherwise(-1) * (F.col("frame_no") - F.floor(F.col("at_ms") / hop_ms + 0.5))
+    near = met.withColumn("_k", away).filter((F.col("_k") >= 0) & (F.col("_k") <= F.round(F.col("extend_ms") / hop_ms))).join(level, key)
+    low = F.col("_db") < F.col("_p")[0] + 0.25 * F.greatest(F.lit(0.0), F.col("_p")[1] - F.col("_p")[0])
+    near = near.withColumn("_run", F.sum(low.cast("int")).over(W.partitionBy(*key).orderBy("_k").rangeBetween(0, least - 1)))
+    found = near.groupBy(*key).agg(
+        F.min(F.when(F.col("_run") == least, F.struct("_k", "_ft"))).alias("_q"),
+        F.min(F.when(F.col("_k") <= F.round(F.least("extend_ms", "fallback_ms") / hop_ms), F.struct("rms", "_k", "_ft"))).alias("_l"),
+    )
+    out = F.when(F.col("at_end"), 1).otherwise(-1)
+    to = F.coalesce(F.col("_q._ft") + out * room_ms, F.col("_l._ft") + F.when(F.col("at_end"), hop_ms).otherwise(0), F.col("at_ms"))
+    by = F.least(F.greatest(out * (to - F.col("at_ms")), F.lit(0)), F.col("extend_ms"))
+    return points.join(found, key, "left").select(*points.columns, (F.col("at_ms") + out * by).cast("bigint").alias("time_ms"), F.col("_q").isNotNull().alias("clean"))

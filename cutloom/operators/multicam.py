@@ -248,3 +248,59 @@ def grid_accuracy(truth: DataFrame, guess: DataFrame, step_ms: int = 100) -> Dat
     met = both.groupBy("media_id", "g", "t").agg(F.count("*").alias("n"))
     best = F.row_number().over(W.partitionBy("media_id", "g").orderBy(F.desc("n"), "t")) == 1
     return met.withColumn("_h", F.when(best & F.col("g").isNotNull(), F.col("n")).otherwise(0)).groupBy("media_id").agg(F.sum("n").alias("n"), F.sum("_h").alias("hits"))
+
+
+def camera_accuracy(truth: DataFrame, runs: DataFrame, cameras: dict[str, int], step_ms: int = 100, edge_ms: int = 700, wide: int = 0) -> DataFrame:
+    """How often the right camera is on: media_id, n, hits.
+
+    Turns (media_id, t_start, t_end, speaker) and runs (media_id, cam, start_ms,
+    end_ms, cutaway) meet on a grid.  Points count where somebody speaks, no turn
+    begins or ends nearer than ``edge_ms``, and no cutaway is on; several
+    speakers at once ask for the wide camera.
+    """
+
+    def points(df: DataFrame, a, b, *more: str) -> DataFrame:
+        first, last = F.greatest(F.ceil(a / step_ms), F.lit(0)), F.ceil(b / step_ms) - 1
+        return df.filter(last >= first).select("media_id", F.explode(F.sequence(first, last)).alias("k"), *more)
+
+    said = points(truth, F.col("t_start"), F.col("t_end"), "speaker").groupBy("media_id", "k").agg(F.count_distinct("speaker").alias("_n"), F.min("speaker").alias("_s"))
+    edges = truth.select("media_id", F.explode(F.array("t_start", "t_end")).alias("_x"))
+    close = points(edges, F.col("_x") - edge_ms + 1, F.col("_x") + edge_ms).distinct()
+    own = F.lit(-1)
+    for speaker, cam in cameras.items():
+        own = F.when(F.col("_s") == speaker, cam).otherwise(own)
+    want = said.join(close, ["media_id", "k"], "left_anti").select("media_id", "k", F.when(F.col("_n") >= 2, wide).otherwise(own).alias("_want"))
+    shown = points(runs, F.col("start_ms"), F.col("end_ms"), "cam", "cutaway")
+    seen = want.join(shown, ["media_id", "k"], "left").filter(~F.coalesce("cutaway", F.lit(False)))
+    return seen.groupBy("media_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("cam") == F.col("_want"), F.lit(False)).cast("bigint")).alias("hits"))
+
+
+def name_tags(tags: DataFrame, shots: DataFrame) -> DataFrame:
+    """Name tags (media_id, tag_no, person, t_ms) placed where the person is seen long enough: media_id, tag_no, person, t_ms, dur_ms.
+
+    A tag first goes to the person's first wide shot (media_id, person,
+    start_ms, end_ms) from a second before it to 90 seconds after it; then to
+    the first unbroken run of such shots that begins at most three seconds
+    before and leaves two seconds of it.  Without one it stays, and is short.
+    """
+    from cutloom.operators import intervals
+
+    on = ["media_id", "person"]
+    near = intervals.neighbours(tags.withColumn("_at", F.col("t_ms") - 1000), shots.select(*on, "start_ms").distinct(), on, "_at", "start_ms")
+    moved = F.when(F.col("next_ms") <= F.col("t_ms") + 90_000, F.col("next_ms") + 100).otherwise(F.col("t_ms"))
+    t = near.select(*on, "tag_no", moved.alias("_ref")).withColumn("_lo", F.col("_ref") - 3000).withColumn("_hi", F.col("_ref") - 501)
+    w = W.partitionBy("media_id").orderBy("start_ms", "end_ms")
+    change = F.coalesce((F.lag("person").over(w) != F.col("person")) | (F.abs(F.lag("end_ms").over(w) - F.col("start_ms")) >= 80), F.lit(True))
+    runs = shots.withColumn("_change", change.cast("int")).withColumn("_run", F.sum("_change").over(w)).groupBy(*on, "_run").agg(F.min("start_ms").alias("_a"), F.max("end_ms").alias("_b")).drop("_run")
+    # Runs that begun before the tag must last; of later ones only the length counts, so the next one is enough.
+    begun = intervals.overlap_join(t, runs, on, "_lo", "_hi", "_a", "_a").filter(F.col("_b") >= F.col("_ref") + 1620).groupBy("media_id", "tag_no").agg(F.min(F.struct("_a", "_b")).alias("_one"))
+    long = runs.filter(F.col("_b") - F.col("_a") >= 2120).groupBy(*on, F.col("_a").alias("next_ms")).agg(F.max("_b").alias("_b2"))
+    later = intervals.neighbours(t.withColumn("_from", F.col("_ref") - 500), long, on, "_from", "next_ms").select(*on, "tag_no", "_ref", "next_ms").join(long, [*on, "next_ms"], "left")
+    best = F.coalesce(F.col("_one"), F.when(F.col("_b2").isNotNull(), F.struct(F.col("next_ms").alias("_a"), F.col("_b2").alias("_b"))))
+    start = F.greatest(F.col("_best._a"), F.col("_ref") - 500) + 120
+    placed = later.join(begun, ["media_id", "tag_no"], "left").withColumn("_best", best).withColumn("_st", start)
+    seen = F.col("_best").isNotNull()
+    return placed.select(
+        "media_id", "tag_no", "person", F.when(seen, F.col("_st")).otherwise(F.col("_ref")).alias("t_ms"),
+        F.when(seen, F.least(F.lit(3800), F.col("_best._b") - F.col("_st") - 50)).otherwise(2500).cast("bigint").alias("dur_ms"),
+    )
