@@ -92,3 +92,18 @@ def test_runs_cover_random_ranges(seed):
     runs = plan(turns, 60000)
     assert runs[0][1] == 0 and runs[-1][2] == 60000
     assert all(x[2] == y[1] for x, y in zip(runs, runs[1:], strict=False))
+
+
+def test_a_short_first_run_goes_to_the_next():
+    # a until 1100 is no shot; with it b, until 2500, is one
+    runs = plan([("A", 0, 900), ("B", 1400, 2300), ("A", 2800, 9000)], 9000, gap=50, silence_to_wide=60_000)
+    assert [(r[0], r[1]) for r in runs] == [(2, 0), (1, 2500)]
+
+
+def test_name_tags(spark):
+    from cutloom.operators.multicam import name_tags
+
+    shots = spark.createDataFrame([(1, "a", 0, 1000), (1, "b", 1000, 9000), (1, "a", 20_000, 21_000), (1, "a", 21_050, 26_000)], "media_id long, person string, start_ms long, end_ms long")
+    tags = spark.createDataFrame([(1, 1, "a", 5000), (1, 2, "b", 1500), (1, 3, "c", 700)], "media_id long, tag_no long, person string, t_ms long")
+    got = {r.tag_no: (r.t_ms, r.dur_ms) for r in name_tags(tags, shots).collect()}
+    assert got == {1: (20_120, 3800), 2: (1120, 3800), 3: (700, 2500)}

@@ -116,3 +116,19 @@ def test_removed_time_adds_up(spark):
     holes = spark.createDataFrame([(1, 10000, 15000)], "seq_id long, h_start long, h_end long")
     got = sorted((r.start_ms, r.end_ms, r.in_ms) for r in timeline.remove_ranges(clips, holes).collect())
     assert got == [(0, 10000, 250000), (10000, 35000, 265000)]
+
+
+def test_edges_move_outward_to_silence(spark):
+    loud = [(1, i, 1000.0 if 20 <= i < 43 else 1.0) for i in range(80)] + [(2, i, 1000.0 + i) for i in range(80)]
+    f = spark.createDataFrame(loud, "media_id long, frame_no long, rms double")
+    p = spark.createDataFrame([(1, 1, 2000, True, 400, 100), (1, 2, 1100, False, 400, 100), (2, 1, 2000, True, 400, 100), (3, 1, 500, True, 400, 100)], "media_id long, point_no long, at_ms long, at_end boolean, extend_ms long, fallback_ms long")
+    got = {(r.media_id, r.point_no): (r.time_ms, r.clean) for r in audio.refined_edges(p, f, 50).collect()}
+    # 43 * 50 + 30 after the speech, 19 * 50 - 30 before it; without silence the quietest frame's end; without sound the edge itself
+    assert got == {(1, 1): (2180, True), (1, 2): (920, True), (2, 1): (2050, False), (3, 1): (500, False)}
+
+
+def test_lines_skip_pauses(spark):
+    lines = spark.createDataFrame([(1, 1, 0, "abcd"), (1, 1, 1, "efgh")], "media_id long, block_no long, line_no long, text string")
+    spans = spark.createDataFrame([(1, 1, 0, 500), (1, 1, 2000, 2400)], "media_id long, block_no long, s_ms long, e_ms long")
+    got = [(r.t0_ms, r.t1_ms) for r in captions.spread(lines, spans).orderBy("line_no").collect()]
+    assert got == [(0, 400), (500, 2400)]
