@@ -304,3 +304,20 @@ def name_tags(tags: DataFrame, shots: DataFrame) -> DataFrame:
         "media_id", "tag_no", "person", F.when(seen, F.col("_st")).otherwise(F.col("_ref")).alias("t_ms"),
         F.when(seen, F.least(F.lit(3800), F.col("_best._b") - F.col("_st") - 50)).otherwise(2500).cast("bigint").alias("dur_ms"),
     )
+
+
+def free_tracks(audio: DataFrame) -> DataFrame:
+    """Sounds (seq_id, item_no, track) on tracks of their own: seq_id, item_no, track, moved.
+
+    In order, each takes the first track from the one it asks for that none
+    before it has; a timeline's few sounds are one array.
+    """
+    per = audio.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("item_no", F.col("track").cast("bigint").alias("track")))).alias("_a"))
+
+    def taken(used, x):
+        free = F.array_except(F.sequence(x["track"], x["track"] + F.size(used)), used)
+        return F.concat(used, F.array(F.array_min(free)))
+
+    got = F.aggregate("_a", F.array().cast("array<bigint>"), taken)
+    x = F.explode(F.zip_with("_a", got, lambda a, t: F.struct(a["item_no"].alias("item_no"), t.alias("track"), (a["track"] != t).alias("moved"))))
+    return per.select("seq_id", x.alias("x")).select("seq_id", "x.*")

@@ -77,3 +77,33 @@ def x10(t: Tables) -> DataFrame:
     lines = w.groupBy("media_id", "block_no", F.expr("pos div 6").alias("line_no")).agg(F.array_join(F.transform(ordered, lambda x: x["w"]), " ").alias("text"))
     spans = w.groupBy("media_id", "block_no", F.expr("pos div 4").alias("_s")).agg(F.min("s_ms").alias("s_ms"), F.max("e_ms").alias("e_ms")).drop("_s")
     return captions.spread(lines, spans)
+
+
+@query("w18_fast_cues", """, wt AS (SELECT seq_id, clip_ix, s_ms + start_ms - in_ms AS t0, e_ms + start_ms - in_ms AS t1, w FROM words w JOIN clips c ON w.media_id = c.media_id AND s_ms >= in_ms - 10 AND e_ms <= out_ms + 10),
+nw AS (SELECT *, row_number() OVER v AS i, coalesce(t0 - lag(t1) OVER v > 350 OR regexp_matches(lag(w) OVER v, '[.?!]$'), true) AS new FROM wt WINDOW v AS (PARTITION BY seq_id, clip_ix ORDER BY t0, t1, w)),
+fc AS (SELECT * FROM (WITH RECURSIVE f AS (
+  SELECT seq_id, clip_ix, i, i AS head, length(w) AS len FROM nw WHERE i = 1
+  UNION ALL SELECT n.seq_id, n.clip_ix, n.i, CASE WHEN n.new OR n.i - f.head >= 3 OR f.len + 1 + length(n.w) > 17 THEN n.i ELSE f.head END,
+    CASE WHEN n.new OR n.i - f.head >= 3 OR f.len + 1 + length(n.w) > 17 THEN length(n.w) ELSE f.len + 1 + length(n.w) END
+  FROM f JOIN nw n ON n.seq_id = f.seq_id AND n.clip_ix = f.clip_ix AND n.i = f.i + 1) SELECT * FROM f)),
+cu AS (SELECT f.seq_id, f.clip_ix, head, min(t0) AS t0, arg_max(t1, f.i) + 120 AS t1,
+    upper(replace(string_agg(regexp_replace(CASE WHEN lower(regexp_replace(w, '[.,;:?!]+$', '')) = 'the' THEN 'THEE.' ELSE w END, '[.,;:]+$', ''), ' ' ORDER BY f.i), 'ß', 'SS')) AS text,
+    bool_or(length(regexp_replace(w, '[^\\p{L}\\p{M}\\p{N}_]', '', 'g')) >= 9) AS large
+  FROM fc f JOIN nw n ON f.seq_id = n.seq_id AND f.clip_ix = n.clip_ix AND f.i = n.i GROUP BY ALL),
+cn AS (SELECT *, lead(t0) OVER (PARTITION BY seq_id ORDER BY clip_ix, t0) AS nx FROM cu)
+SELECT seq_id, clip_ix, t0 AS t0_ms, CASE WHEN nx IS NULL THEN t1 WHEN least(t1, nx) - t0 < 220 THEN least(t0 + 220, nx) ELSE least(t1, nx) END AS t1_ms, text, large FROM cn""")
+def w18(t: Tables) -> DataFrame:
+    from cutloom.operators import timeline
+
+    return captions.fast_cues(timeline.words_on_timeline(t.clips, t.words), {"the": "THEE."})
+
+
+@query("m06_free_tracks", """, au AS (SELECT seq_id, clip_ix AS item_no, track, row_number() OVER (PARTITION BY seq_id ORDER BY clip_ix) AS i FROM clips),
+ft AS (SELECT * FROM (WITH RECURSIVE f AS (
+  SELECT seq_id, item_no, i, track AS got, track, [track] AS used FROM au WHERE i = 1
+  UNION ALL SELECT a.seq_id, a.item_no, a.i, list_min(list_filter(range(a.track, a.track + len(f.used) + 1), lambda x: NOT list_contains(f.used, x))), a.track,
+    list_append(f.used, list_min(list_filter(range(a.track, a.track + len(f.used) + 1), lambda x: NOT list_contains(f.used, x))))
+  FROM f JOIN au a ON a.seq_id = f.seq_id AND a.i = f.i + 1) SELECT * FROM f))
+SELECT seq_id, item_no, got AS track, got <> track AS moved FROM ft""")
+def m06(t: Tables) -> DataFrame:
+    return multicam.free_tracks(t.clips.select("seq_id", F.col("clip_ix").alias("item_no"), "track"))
