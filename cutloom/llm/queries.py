@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutloom.llm import bpe, embdedup, langid, licenses, lines, ngramjoin, packing, passages, pii, topk
+from cutloom.llm import audit, bpe, centroids, credentials, embdedup, langid, licenses, lines, ngramjoin, packing, passages, pii, topk
 from cutloom.llm.common import table
 
 
@@ -185,6 +185,161 @@ FROM w LEFT JOIN bb USING (k) LEFT JOIN n USING (k)
 """
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda spans, kind: F.size(F.filter(spans, lambda s: s["rank"] == credentials.RANK[kind])).cast("long")
+    return found.select(
+        "doc_id",
+        *[of("base", k).alias(f"n_{k}") for k in credentials.BASE],
+        F.sha2(credentials.listed("base"), 256).alias("base_sha256"),
+        credentials.listed("spans").alias("spans"),
+        F.size("links").cast("long").alias("n_linked"),
+    )
+
+
+def _secrets_sql(reach: int = 200) -> str:
+    """Every pair of parts of a paragraph, compared by their places."""
+    c = credentials
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def matches(kind: str) -> str:
+        p, g = quoted(c.PATTERNS[kind]), 2 if "(" in c.PATTERNS[kind] else 0
+        valid = "length(value) >= {}".format(c.LEAST[kind])
+        if kind == "run":
+            valid += f" AND len(list_distinct(string_split(value, ''))) >= {c.DIFFERENT} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')"
+        return f"""
+  SELECT k, {c.RANK[kind]} AS rank, pos AS a, pos + length(hit) AS b FROM (
+    SELECT k, hit, value, sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER v, 0) AS pos FROM (
+      SELECT k, unnest(regexp_split_to_array(t, {p})) AS gap, unnest(regexp_extract_all(t, {p})) AS hit,
+        unnest(regexp_extract_all(t, {p}, {g})) AS value, unnest(range(len(regexp_extract_all(t, {p})) + 1)) AS i
+      FROM d WHERE regexp_matches(t, {p})
+    )
+    WINDOW w AS (PARTITION BY k ORDER BY i), v AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  ) WHERE hit IS NOT NULL AND {valid}"""
+
+    union = lambda kinds: " UNION ALL ".join(map(matches, kinds))
+    ranks = lambda kinds: "(" + ", ".join(str(c.RANK[k]) for k in kinds) + ")"
+    rules = " OR ".join(f"(w.rank = {c.RANK[k]} AND p.rank IN {ranks({x for g in gs for x in c.GROUPS[g]})})" for k, gs in c.COMPLEMENT.items())
+    names = "[" + ", ".join(f"'{k}'" for k in c.PATTERNS) + "]"
+    said = lambda x: f"coalesce(string_agg({names}[{x}.rank + 1] || ':' || {x}.a || ':' || {x}.b, ',' ORDER BY {x}.a, {x}.rank, {x}.b), '')"
+    overlap = lambda t, s: f"NOT EXISTS (SELECT 1 FROM {t} o WHERE o.k = {s}.k AND o.a < {s}.b AND {s}.a < o.b)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({union(c.BASE)}),
+named AS (SELECT * FROM ({union(("account", "pass", "host"))}) n WHERE {overlap("base", "n")}
+  UNION ALL {matches("url")}),
+others AS (SELECT * FROM base UNION ALL SELECT * FROM named),
+weak AS (SELECT * FROM named UNION ALL SELECT * FROM ({matches("run")}) r WHERE {overlap("others", "r")}),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+scoped AS (
+  SELECT p.*, len(regexp_extract_all(substr(d.t, 1, CAST(a AS BIGINT)), '\\n[ \\t\\r]*\\n')) AS scope
+  FROM parts p JOIN d USING (k)
+),
+linked AS (
+  SELECT w.k, w.a, w.rank, w.b FROM scoped w WHERE EXISTS (
+    SELECT 1 FROM scoped p WHERE p.k = w.k AND p.scope = w.scope AND (p.a, p.rank, p.b) <> (w.a, w.rank, w.b)
+      AND greatest(0, p.a - w.b, w.a - p.b) <= {reach} AND ({rules})
+  )
+),
+spans AS (SELECT k, a, rank, b FROM base UNION ALL SELECT * FROM linked),
+bb AS (
+  SELECT k, {", ".join(f"count(*) FILTER (WHERE rank = {c.RANK[x]}) AS n_{x}" for x in c.BASE)}, {said("base")} AS listed FROM base GROUP BY k
+),
+ss AS (SELECT k, {said("spans")} AS spans, count(*) FILTER (WHERE rank >= {len(c.BASE)}) AS n_linked FROM spans GROUP BY k)
+SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in c.BASE)}, sha256(coalesce(listed, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN bb USING (k) LEFT JOIN ss USING (k)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = """
+WITH RECURSIVE d AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(words) < 200,
+    100 * len(list_distinct(words)) < 50 * len(words),
+    100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)
+  ] AS fails FROM d LEFT JOIN l USING (doc_id)
+), o AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)
+), s AS (
+  SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5
+), n AS (
+  SELECT *, list_transform(range(1, step), lambda i: ascii(substr(filter_order, i, 1)) - 64) AS earlier, ascii(substr(filter_order, step, 1)) - 64 AS own FROM s
+), g AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL
+), m AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS bad, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+    len(list_filter(fails, lambda x: x)) AS many
+  FROM g, n
+), r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+    sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND bad THEN n ELSE 0 END) AS redundant, sum(CASE WHEN bad AND many = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND bad THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND bad THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every vector against every centroid, round after round."""
+    nearest = """
+  SELECT i, vec_id, v, c, d FROM (
+    SELECT i, vec_id, x.v, c, d, row_number() OVER (PARTITION BY i ORDER BY d, c) AS place FROM (
+      SELECT x.i, x.vec_id, x.v, m.c, CAST(list_sum(list_transform(list_zip(x.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x, {m} m
+    ) x
+  ) WHERE place = 1"""
+    steps = []
+    for r in range(1, rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(m=f'm{r - 1}')})")
+        steps.append(f"""u{r} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (
+    SELECT c, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS y, unnest(range(64)) AS j FROM a{r}) GROUP BY c, j
+  ) GROUP BY c
+)""")
+        steps.append(f"m{r} AS MATERIALIZED (SELECT m.c, coalesce(u.v, m.v) AS v FROM m{r - 1} m LEFT JOIN u{r} u USING (c))")
+    chain = ",\n".join(steps)
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id,
+    list_transform(embedding, lambda e: CAST(greatest(-{centroids.LIMIT}, least({centroids.LIMIT}, floor(1024 * CAST(e AS DOUBLE)))) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+),
+m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+    SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM x WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}
+  )
+),
+{chain},
+f AS MATERIALIZED ({nearest.format(m=f"m{rounds}")})
+SELECT vec_id, CAST(f.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM f JOIN m{rounds} m ON f.c = m.c
+"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
@@ -196,5 +351,8 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_licenses": op10_licenses,
+    "op11_secrets": op11_secrets,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_clusters": op13_clusters,
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_licenses": _licenses_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op10_licenses": _licenses_sql(), "op11_secrets": _secrets_sql(), "op12_filter_audit": OP12_SQL, "op13_clusters": _clusters_sql()}
