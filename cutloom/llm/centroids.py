@@ -110,7 +110,7 @@ def _fetched(asked: DataFrame, full: DataFrame, centroids: np.ndarray, width: in
     k = len(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros((k, width), "i8"), np.zeros(k, "i8")
+        sums, counts, moved = np.zeros((k, width), "i8"), np.zeros(k, "i8"), False
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 s = b.slice(i, 4096)
@@ -120,11 +120,12 @@ def _fetched(asked: DataFrame, full: DataFrame, centroids: np.ndarray, width: in
                     to, away = (new == c) & (old != c), (old == c) & (new != c)
                     sums[c] += x[to].sum(axis=0) - x[away].sum(axis=0)
                     counts[c] += to.sum() - away.sum()
+                moved |= bool((new != old).any())
                 none = pa.nulls(len(new), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([s.column("id"), s.column("cells"), pa.array(new.astype("i4")), none, pa.nulls(len(new), pa.int64())], names=names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype="i4")), pa.array(sums.tolist(), pa.list_(pa.int64())), pa.array(counts)], names=names
-        )
+        if moved:
+            own = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype="i4"))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sums.tolist(), pa.list_(pa.int64())), pa.array(counts)], names=names)
 
     names = ["id", "cells", "cluster", "sums", "n"]
     return asked.join(full.select("id", "v"), "id").mapInArrow(run, "id bigint, cells binary, cluster int, sums array<bigint>, n bigint")
@@ -133,12 +134,10 @@ def _fetched(asked: DataFrame, full: DataFrame, centroids: np.ndarray, width: in
 def _totals(rows: DataFrame, k: int, width: int) -> tuple[list[list[int]], list[int]]:
     """Sums and counts per cluster: k times width numbers, whatever the table."""
     sums, counts = [[0] * width for _ in range(k)], [0] * k
-    found = rows.filter("id is null").select("cluster", F.posexplode(F.concat("sums", F.array("n"))).alias("j", "x"))
-    for r in found.groupBy("cluster", "j").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect():
-        if r.j == width:
-            counts[r.cluster] = int(r.x)
-        else:
-            sums[r.cluster][r.j] = int(r.x)
+    total = lambda x: F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0))
+    by = rows.filter("id is null").groupBy("cluster")
+    for r in by.agg(total(F.col("n")).alias("n"), F.array(*[total(F.get("sums", F.lit(j))) for j in range(width)]).alias("sums")).collect():
+        counts[r.cluster], sums[r.cluster] = int(r.n), [int(x) for x in r.sums]
     return sums, counts
 
 
