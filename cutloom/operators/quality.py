@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,3 +65,80 @@ def word_alignment(pairs: DataFrame) -> DataFrame:
             yield pdf.assign(n_ref=[len(x) for x in pdf.ref], errors=[distance(list(a), list(b)) for a, b in zip(pdf.ref, pdf.hyp, strict=True)])[["media_id", "n_ref", "errors"]]
 
     return pairs.select("media_id", "ref", "hyp").mapInPandas(run, "media_id bigint, n_ref bigint, errors bigint")
+
+
+def _codes(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    code: dict[str, int] = {}
+    return tuple(np.array([code.setdefault(w, len(code)) for w in x], "i4") for x in (ref, hyp))
+
+
+def trace(ref: list[str], hyp: list[str]) -> tuple[int, list[tuple[int, int]]]:
+    """The edit distance of two lists of words, and the pairs of places that its path matches.
+
+    From the end the path goes over a match where it can, else past a word of
+    the reference, else past one of the other, else over a replacement.  Only
+    every so many rows of the table are kept; those between are filled again
+    when the path comes to them, so that memory grows with the words times
+    their root.
+    """
+    r, h = _codes(ref, hyp)
+    place = np.arange(h.size + 1, dtype="i4")
+
+    def following(row: np.ndarray, i: int) -> np.ndarray:
+        best = np.minimum(row[1:] + 1, row[:-1] + (h != r[i - 1]))
+        return np.minimum.accumulate(np.concatenate([np.array([i], "i4"), best]) - place) + place
+
+    step = max(1, int(r.size**0.5))
+    row, kept = place, [place]
+    for i in range(1, r.size + 1):
+        row = following(row, i)
+        if i % step == 0:
+            kept.append(row)
+    i, j, pairs = r.size, h.size, []
+    while i and j:
+        start = (i - 1) // step * step
+        rows = [kept[start // step]]
+        for k in range(start + 1, i + 1):
+            rows.append(following(rows[-1], k))
+        while i > start and j:
+            here, above = rows[i - start], rows[i - start - 1]
+            if r[i - 1] == h[j - 1] and here[j] == above[j - 1]:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif here[j] == above[j] + 1:
+                i -= 1
+            elif here[j] == here[j - 1] + 1:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+    return int(row[-1]), pairs[::-1]
+
+
+def word_deviations(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Two transcripts' words (media_id, pos, w, s_ms, e_ms) compared: media_id, n_ref, errors, matched, mean_ms, p95_ms.
+
+    Words are compared in lower case without marks.  The deviations are those of
+    starts and ends of matched words: their mean, and the one that 95 percent of
+    them come before; 0 where nothing matches.  A recording that only one has
+    is compared with no words.
+    """
+    plain = F.regexp_replace(F.lower("w"), r"[^\p{L}\p{N}_]", "")
+
+    def words(df: DataFrame, name: str) -> DataFrame:
+        w = F.array_sort(F.collect_list(F.struct("pos", plain.alias("w"), "s_ms", "e_ms")))
+        field = lambda f: F.transform(w, lambda x: x[f]).alias(f"{name}_{f}")
+        return df.groupBy("media_id").agg(field("w"), field("s_ms"), field("e_ms"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for x in pdf.to_dict("records"):
+                a, b = ([] if x[f"{n}_w"] is None else list(x[f"{n}_w"]) for n in ("ref", "hyp"))
+                errors, pairs = trace(a, b)
+                off = [abs(int(x[f"ref_{f}"][i]) - int(x[f"hyp_{f}"][j])) for i, j in pairs for f in ("s_ms", "e_ms")]
+                off.sort()
+                out.append((x["media_id"], len(a), errors, len(pairs), sum(off) / len(off) if off else 0.0, off[int(0.95 * len(off))] if off else 0))
+            yield pd.DataFrame(out, columns=["media_id", "n_ref", "errors", "matched", "mean_ms", "p95_ms"])
+
+    both = words(ref, "ref").join(words(hyp, "hyp"), "media_id", "full")
+    return both.mapInPandas(run, "media_id bigint, n_ref bigint, errors bigint, matched bigint, mean_ms double, p95_ms bigint")
