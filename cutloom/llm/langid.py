@@ -120,8 +120,8 @@ def fit(
     """Learns prototypes from the labelled rows of ``df`` (null labels and texts are left out).
 
     A bounded sample is enough for them: of a language with more rows than
-    ``rows_per_language`` about that many, chosen by a hash of ``key``, are
-    used.  More than ``most_languages`` different labels are no languages but
+    ``rows_per_language`` about that many, chosen by a hash of ``key`` and the
+    text, are used; so neither missing ids nor copies are chosen all at once.  More than ``most_languages`` different labels are no languages but
     a wrong column, and an error; what comes to the driver is at most that many
     prototypes.  ``n`` is 3 at most, as an n-gram is one number of 64 bits.
     """
@@ -135,7 +135,7 @@ def fit(
         return Profiles((), np.zeros((0, dimensions), "f4"), dimensions, n, seed)
     pairs = [x for k, v in bound.items() for x in (F.lit(k), F.lit(v))]
     share = F.element_at(F.create_map(*pairs), named(lang))
-    chosen = known.filter(F.pmod(F.xxhash64(named(key)), F.lit(1_000_003)) < share * 1_000_003)
+    chosen = known.filter(F.pmod(F.xxhash64(named(key), named(text)), F.lit(1_000_003)) < share * 1_000_003)
 
     def run(batches):
         space, sums = _space(dimensions, n, seed), {}

@@ -8,8 +8,9 @@ first.  A block that contains at least the threshold's share of a template
 must hold a word of the template's prefix (its rarest words, as many as may be
 missing plus one), must be large enough, and its words must stand early enough
 in both orders; what passes is counted exactly.  A template's deciding word
-must be there, and of several templates that a block meets the one it meets
-best gives the label.  DataFrame operations only.
+must be there.  Every template that a block meets gives its label, but one whose
+words there all belong to a longer template that the block meets as well.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -92,8 +93,9 @@ def scan(
     first_word and last_word are the smallest and largest of their starts
     (null if none).  A template's label is added where a block contains at
     least ``threshold`` of its different words, its deciding word among them,
-    and no larger share of another template of its size (of equal shares the
-    first label).  ``score`` is 1 where a phrase stands, else the largest
+    unless these words are all words of a longer template of its width that the
+    block meets, too (of equally long ones the one with the larger share, then
+    the first label, counts as longer).  ``score`` is 1 where a phrase stands, else the largest
     containment that met the threshold, else 0.
     Null texts count as empty: no words, no labels.  Rows are judged each on
     its own, so repeated rows and null ids stay; columns of the added names are
@@ -171,12 +173,15 @@ def scan(
         .groupBy("block", "n", "label", "size", "least", "words")
         .agg(F.min("i").alias("i"), F.min("j").alias("j"))
         .filter(1 + F.least(F.col("size") - F.col("i") - 1, F.col("n") - F.col("j") - 1) >= F.col("least"))
-        .withColumn("both", F.size(F.array_intersect("block.words", "words")))
-        .filter("both >= least")
-        .select("block", "label", (F.col("both") / F.col("size")).alias("part"))
+        .withColumn("met", F.array_intersect("block.words", "words"))
+        .filter(F.size("met") >= F.col("least"))
+        .select("block", F.struct("label", "size", (F.size("met") / F.col("size")).alias("part"), "met", "words").alias("x"))
     )
-    best = F.min(F.struct((-F.col("part")).alias("part"), "label"))
-    per_block = candidates.groupBy("block").agg(best.alias("best")).select("block", F.array("best.label").alias("labels"), (-F.col("best.part")).alias("part"))
+    longer = lambda x, y: (y["size"] > x["size"]) | ((y["size"] == x["size"]) & ((y["part"] > x["part"]) | ((y["part"] == x["part"]) & (y["label"] < x["label"]))))
+    held = lambda x: F.exists("found", lambda y: longer(x, y) & (F.size(F.array_except(x["met"], y["words"])) == 0))
+    # A block meets as many templates as there are, at most.
+    per_block = candidates.groupBy("block").agg(F.collect_list("x").alias("found"))
+    per_block = per_block.select("block", F.transform(F.filter("found", lambda x: ~held(x)), lambda x: x["label"]).alias("labels"), F.array_max(F.transform("found", lambda x: x["part"])).alias("part"))
     per_text = (
         row.filter(F.size("_lines") > 0)
         .select("_key", F.explode(F.array_distinct("_lines")).alias("block"))

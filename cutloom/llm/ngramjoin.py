@@ -129,7 +129,7 @@ def _verified(rows: list[dict], same: bool, threshold: float, depth: int, before
 def near_duplicates(
     df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = 5, threshold: float = 0.8, trees: int = TREES, recall: float = TARGET
 ) -> DataFrame:
-    """One row per document: doc_id, copy_of, class_id, n_links.
+    """One row per document: doc_id, copy_of, class_id, n_links, text_md5, class_no.
 
     Two documents are linked if the Jaccard similarity of their sets of n-word
     shingles is at least ``threshold`` (words: lower-cased runs of letters and
@@ -137,11 +137,14 @@ def near_duplicates(
     smallest id with the same words, ``class_id`` the smallest id reachable by
     links, ``n_links`` the number of documents linked directly, copies included.
     Texts that are null, empty or without words, and rows without id, link with
-    nothing and are their own class.  Equal ids are separate documents of
-    equal name.  Other columns are ignored.
+    nothing and are their own class.  Equal ids are separate documents of equal
+    name: ``text_md5``, of the text with null as empty, tells them apart, and
+    ``class_no``, null where nothing can link, their classes.  Other columns are
+    ignored.
     """
     full = depth_for(threshold, trees)
     texts = df.select(named(doc_id).cast("bigint").alias("doc_id"), named(text).alias("text"))
+    digested = texts.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
 
     def sign(batches):
         for s in slices(batches):
@@ -157,11 +160,11 @@ def near_duplicates(
             bounds = (np.arange(len(data) + 1) * 4 * full).astype("i4")
             leaves = pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(bounds), pa.py_buffer(data.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [s.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), leaves)],
-                names=["doc_id", "words", "size", "trees"],
+                [s.column(0), s.column(2), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), leaves)],
+                names=["doc_id", "text_md5", "words", "size", "trees"],
             )
 
-    signed = written(texts.mapInArrow(sign, "doc_id bigint, words binary, size bigint, trees array<binary>"))
+    signed = written(digested.mapInArrow(sign, "doc_id bigint, text_md5 string, words binary, size bigint, trees array<binary>"))
     # Classes are named by number, as different texts may have equal ids.
     classes = written(
         signed.filter("words is not null and doc_id is not null")
@@ -211,7 +214,7 @@ def near_duplicates(
     own = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     own = written(own.join(links, "id", "left").select("words", "component", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     per = salted(own, own.groupBy("component").agg(F.min("low").alias("class_id")), "component").withColumnRenamed("low", "copy_of")
-    rows = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words"))
+    rows = signed.select("doc_id", "text_md5", F.when(F.col("doc_id").isNotNull(), F.col("words")).alias("words"))
     return rows.join(per, "words", "left").select(
-        "doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_md5", F.col("component").alias("class_no")
     )

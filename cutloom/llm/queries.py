@@ -172,11 +172,12 @@ s AS (
 ),
 l AS (SELECT k, width, i, words[i * width + 1 : (i + 2) * width] AS words FROM s),
 m AS (
-  SELECT l.k, l.width, l.i, t.label, len(list_intersect(t.words, l.words)) / len(t.words) AS part FROM l JOIN t USING (width)
+  SELECT l.k, l.width, l.i, t.label, t.words AS tw, list_intersect(t.words, l.words) AS met, len(list_intersect(t.words, l.words)) / len(t.words) AS part FROM l JOIN t USING (width)
   WHERE (need = '' OR list_contains(l.words, need)) AND len(list_intersect(t.words, l.words)) >= 0.8 * len(t.words) - 1e-9
 ),
-o AS (SELECT *, row_number() OVER (PARTITION BY k, width, i ORDER BY part DESC, label) AS place FROM m),
-n AS (SELECT k, list(DISTINCT label) AS labels, max(part) AS part FROM o WHERE place = 1 GROUP BY k)
+o AS (SELECT m.*, EXISTS (SELECT 1 FROM m y WHERE y.k = m.k AND y.width = m.width AND y.i = m.i AND list_has_all(y.tw, m.met) 
+  AND (len(y.tw) > len(m.tw) OR (len(y.tw) = len(m.tw) AND (y.part > m.part OR (y.part = m.part AND y.label < m.label))))) AS inside FROM m),
+n AS (SELECT k, list(DISTINCT label) FILTER (WHERE NOT inside) AS labels, max(part) AS part FROM o GROUP BY k)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(bb.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(bb.labels, n.labels))), ','), '') AS labels,

@@ -61,3 +61,19 @@ def test_deciding_words_and_wrapped_notices(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     assert [got[i].labels for i in range(len(texts))] == list(texts.values()) and got[0]["a.b"] == "x"
+
+
+def test_every_license_of_a_block(spark):
+    two = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    texts = [" ".join(two), " ".join(two[::-1]), "\n\n".join(two), two[0] + " x" * 300 + " " + two[1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.labels for r in licenses.scan(df).collect()} == {"apache-2.0,mit"}
+    # A label whose words all lie in a longer template's match goes; with a word of its own it stays.
+    own = {"long": "alpha beta gamma delta epsilon zeta", "inner": "alpha beta gamma delta epsilon", "other": "alpha beta gamma delta omega"}
+    got = {
+        r.doc_id: r.labels
+        for r in licenses.scan(
+            spark.createDataFrame([(1, own["long"]), (2, own["inner"]), (3, own["long"] + " omega"), (4, "alpha beta gamma delta")], "doc_id long, text string"), templates=own, deciding={}
+        ).collect()
+    }
+    assert got == {1: "long", 2: "long", 3: "long,other", 4: "inner"}

@@ -110,3 +110,15 @@ def test_registered():
     named = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in named} and "pipeline" in named
     assert set(queries.ORACLE_SQL) <= set(named)
+
+
+def test_near_copies_of_equal_ids(spark):
+    body = [f"w{i}" for i in range(60)]
+    a, other = " ".join(body), " ".join(f"v{i}" for i in range(60))
+    near, b = " ".join(["x", *body]), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, near), (0, b), (5, b + " more"), (5, other), (5, other), (7, "..."), (7, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.ngram_join(spark, docs, "").collect())
+    assert len(got) == 7
+    assert [i for i, _ in got] == ["0", "1", "5", "7", "7", "None", "None"]
+    assert ("0", b) in got and ("5", other) in got and sum(t in (a, near) for i, t in got if i == "1") == 1
