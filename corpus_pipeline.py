@@ -63,10 +63,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_kept
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; those without id stay."""
+    """One document of each group of near-duplicates, the one with the smallest id (of equal ids the smallest digest of its text); those without id stay."""
     groups = ngramjoin.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    one = groups.filter("class_no is not null").groupBy("class_no").agg(F.min(F.struct("doc_id", "text_md5")).alias("one")).select("one.*")
+    alone = groups.filter("class_no is null and doc_id is not null").select("doc_id", "text_md5")
+    named = docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")))).join(one.unionByName(alone), ["doc_id", "text_md5"], "left_semi")
+    named = named.dropDuplicates(["doc_id", "text_md5"])
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
