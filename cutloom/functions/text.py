@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters with marks and what they are without.
-MARKED = "áàâäãåčçćďéèêëěíìîïľĺňñóòôöõřšťúùûüůýžźż"
-PLAIN = "aaaaaacccdeeeeeiiiillnnooooorstuuuuuyzzz"
+#: The combining marks that a normal form drops.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _decomposed() -> tuple[str, str]:
+    """Every letter that is a letter with marks, and that letter: all of the basic plane by their decomposition."""
+    found = {}
+    for c in map(chr, range(0xA0, 0xD800)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(m in MARKS for m in marks):
+            found[c] = base
+    return "".join(found), "".join(found.values())
+
+
+MARKED, PLAIN = _decomposed()
 
 
 def normal(text: Column) -> Column:
-    """Lower case without the marks of known letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks, whether a letter holds them or they follow it."""
+    return F.translate(F.lower(text), MARKED + MARKS, PLAIN)
 
 
 def tokens(text: Column) -> Column:
@@ -75,6 +89,28 @@ def phrase_hits(segments: DataFrame, phrase: str, context: int = 1) -> DataFrame
     return s.filter("_n = 1").select("media_id", "seg_id", (F.col("h") == 1).alias("hit"))
 
 
+def stem_pattern(phrase: str) -> str:
+    """A phrase whose longer words may end otherwise: of five letters or more the last two are free, four stay."""
+    words = [rf"\Q{w[: max(4, len(w) - 2)]}\E[\p{{L}}\p{{N}}]*" if len(w) >= 5 else rf"\Q{w}\E" for w in phrase.split()]
+    return r"\s+".join(words)
+
+
+def phrase_or_stem_hits(segments: DataFrame, phrase: str, context: int = 1) -> DataFrame:
+    """Sentences that hold a phrase (in normal form) between word borders, with their neighbours: media_id, seg_id, hit, by_stem.
+
+    A recording without the phrase itself is searched by its stems.
+    """
+    from pyspark.sql import Window as W
+
+    body = normal(F.col("text"))
+    found = lambda p: body.rlike(rf"(?<![\p{{L}}\p{{N}}]){p}(?![\p{{L}}\p{{N}}])")
+    m = W.partitionBy("media_id")
+    s = segments.select("media_id", "seg_id", found(rf"\Q{phrase}\E").alias("_e"), found(stem_pattern(phrase)).alias("_s"))
+    s = s.withColumn("by_stem", ~F.max("_e").over(m)).withColumn("hit", F.when(F.col("by_stem"), F.col("_s")).otherwise(F.col("_e")))
+    near = m.orderBy("seg_id").rowsBetween(-context, context)
+    return s.withColumn("_n", F.max("hit").over(near)).filter("_n").select("media_id", "seg_id", "hit", "by_stem")
+
+
 def target_seconds(brief: Column) -> Column:
     """Target length in seconds that a brief names in digits; null if none."""
     t = F.lower(brief)

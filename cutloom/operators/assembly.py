@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 # What briefs say, as patterns.
 NO_HOST = r"(\bbez\b|vynech|nechci|žádn|nevybírej|nedávej)[^.;:(),]{0,60}?(moder|otázek|organiza)"
-TEASER = r"upoutáv|upoutav|trailer|teaser|promo"
+TEASER = r"upoutáv|upoutav|trailer|teaser|promo|pozvánk|pozvank"
+VOICE_OVER = r"koment|dabing|voice.?over|namluv|mluvím|mluvim|podlo[žz]|odpovídal|odpovidal"
+SAYS = r"(jen|pouze|vyhradne|rika|rikaji|rekl|rekla|vyrok[\p{L}\p{N}_]*|slova|promluv[\p{L}\p{N}_]*|mluvi)"
+#: A teaser is at most so long, in seconds.
+TEASER_S = 40
 OVERVIEW = r"přehled|prehled|shrnut|víc témat|vic temat|všech"
 INTENSE = r"otřes|strašn|pekeln|krut|drastic|brutál|šokuj|děsiv|hrůz|horor"
 BALANCE = r"\b(ob(ou|a|ě)|všech|každ[\p{L}\p{N}_]*)\b[^.;:]{0,30}?(host|mluvčí|stran|účastník|kandidát|řečník)"
@@ -35,10 +39,28 @@ DIGITS = r"(\d+(?:[.,]\d+)?)\s*(minut|min\b|sekund|s\b|vte)"
 
 
 def brief_flags(brief: Column, target_s: Column) -> dict[str, Column]:
-    """What a brief asks for: no host, a teaser, one passage, intense moments, all speakers alike."""
+    """What a brief asks for: no host, a teaser, and one planned without an outline, one passage, intense moments, all speakers alike."""
     says = lambda p: F.coalesce(brief.rlike(f"(?iu){p}"), F.lit(False))
     passage = F.coalesce(target_s <= 60, F.lit(False)) & ~says(TEASER) & ~says(OVERVIEW)
-    return {"no_host": says(NO_HOST), "teaser": says(TEASER), "passage": passage, "intense": says(INTENSE), "balance": says(BALANCE)}
+    short = F.coalesce(target_s <= TEASER_S, F.lit(False)) & says(TEASER)
+    return {"no_host": says(NO_HOST), "teaser": says(TEASER), "short_teaser": short, "passage": passage, "intense": says(INTENSE), "balance": says(BALANCE)}
+
+
+def speakers_named(briefs: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(brief_id, speaker): the speakers (media_id, speaker) of a recording to whom its brief (brief_id, media_id, brief) is confined.
+
+    After a word of saying, or only, and at most three others stands the first
+    word of the name, or its stem: of more than four letters all but two, and
+    four at least.  Both are in normal form; labels such as S1 are no names.
+    """
+    from cutloom.functions import text as X
+
+    first = F.split(F.trim(X.normal(F.col("speaker"))), r"\s+")[0]
+    stem = F.when(F.length(first) > 4, F.substring(first, F.lit(1), F.greatest(F.lit(4), F.length(first) - 2))).otherwise(first)
+    s = speakers.filter(~F.col("speaker").rlike(r"^S\d+$")).select("media_id", "speaker", stem.alias("_stem")).filter("_stem <> ''").distinct()
+    word, gap = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    pattern = F.concat(F.lit(rf"(?<!{word}){SAYS}{gap}+({word}+{gap}+){{0,3}}\Q"), "_stem", F.lit("\\E"))
+    return briefs.join(s, "media_id").filter(F.regexp_like(X.normal(F.col("brief")), pattern)).select("brief_id", "speaker")
 
 
 def target_length(brief: Column) -> Column:
@@ -71,6 +93,11 @@ def without_host(units: DataFrame, hosts: DataFrame, speakers: int = 3, least: i
     return u.filter(~F.col("_out") | (F.col("_n") < speakers) | (F.col("_left") < least)).select(*units.columns)
 
 
+def says_voice_over(brief: Column) -> Column:
+    """Whether a brief wants pictures under a voice."""
+    return F.coalesce(brief.rlike(f"(?iu){VOICE_OVER}"), F.lit(False))
+
+
 def voice_over(clips: DataFrame, narration: DataFrame, words: DataFrame, said: DataFrame, fewest: int = 20) -> DataFrame:
     """(seq_id, voice_over): sequences with a narration whose brief says so, or whose pictures hold hardly a word.
 
@@ -98,7 +125,7 @@ def upper_median(rows: DataFrame, key: str, value: str, default: int) -> DataFra
 
 
 def run_table(runs: DataFrame) -> DataFrame:
-    """Runs (model, sec, cost, length, target, flaws) compared: means per model, the deviation in percent of the target, the best first."""
+    """Runs (model, sec, cost, length, target, flaws) compared: means per model, the deviation in percent of the target."""
     off = F.abs(F.col("length") - F.col("target")) * 100 / F.col("target")
     return runs.groupBy("model").agg(
         F.count("*").alias("runs"), F.avg("sec").alias("sec"), F.avg("cost").alias("cost"), F.avg("length").alias("length"), F.avg(off).alias("off_pct"), F.sum("flaws").alias("flaws")
@@ -183,21 +210,29 @@ def extended_backwards(items: DataFrame, fixes: DataFrame) -> DataFrame:
     return j.select("seq_id", "clip_ix", (F.col("start_ms") + F.col("_m")).alias("start_ms"), (F.col("end_ms") + F.col("_m") + F.col("_l")).alias("end_ms"), (F.col("in_ms") - F.col("_l")).alias("in_ms"))
 
 
-def plan_listing(picks: DataFrame, segments: DataFrame, most: int = 15) -> DataFrame:
-    """(plan_id, listing, alternates): a plan's sentences in order, and those between them that it leaves out, a line each.
+def plan_listing(picks: DataFrame, segments: DataFrame, alternates: DataFrame, removed: DataFrame, most: int = 15) -> DataFrame:
+    """(plan_id, listing, alternates, removed): a plan's sentences in order and its alternates, a line each, and what was left out by rule.
 
-    A line is number, speaker, length in tenths and text; ``~`` marks one that starts in lower case.
+    A line is number, speaker, length in tenths of a second (whole milliseconds,
+    halves up) and text; ``~`` marks one that starts in lower case.
+    ``alternates`` (plan_id, media_id, ord, seg_id) come in their order, those
+    picked left out, at most ``most``; ``removed`` (plan_id, kind, seg_id) are
+    listed by kind.
     """
     low = F.when(F.col("text").rlike(r"^\p{Ll}"), "~").otherwise("")
-    line = F.concat(low, F.format_string("%d %s %.1f s: %s", F.col("seg_id"), F.col("speaker"), (F.col("end_ms") - F.col("start_ms")) / 1000.0, F.col("text")))
+    tenths = F.floor((F.col("end_ms") - F.col("start_ms") + 50) / 100)
+    line = F.concat(low, F.format_string("%d %s %d.%d s: %s", F.col("seg_id"), F.coalesce("speaker", F.lit("?")), F.floor(tenths / 10), tenths % 10, F.col("text")))
     s = segments.select("media_id", "seg_id", line.alias("line"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["line"]), "\n")
     own = picks.join(s, ["media_id", "seg_id"]).groupBy("plan_id").agg(joined(F.collect_list(F.struct("ord", "line"))).alias("listing"))
-    media = picks.select("plan_id", "media_id").distinct()
-    rest = media.join(s, "media_id").join(picks.select("plan_id", "media_id", "seg_id"), ["plan_id", "media_id", "seg_id"], "left_anti")
-    place = F.row_number().over(W.partitionBy("plan_id").orderBy("media_id", "seg_id"))
-    rest = rest.withColumn("ord", place).filter(F.col("ord") <= most).groupBy("plan_id").agg(joined(F.collect_list(F.struct("ord", "line"))).alias("alternates"))
-    return own.join(rest, "plan_id", "left").withColumn("alternates", F.coalesce("alternates", F.lit("")))
+    rest = alternates.join(picks.select("plan_id", "media_id", "seg_id"), ["plan_id", "media_id", "seg_id"], "left_anti")
+    place = F.row_number().over(W.partitionBy("plan_id").orderBy("ord"))
+    rest = rest.withColumn("ord", place).filter(F.col("ord") <= most).join(s, ["media_id", "seg_id"])
+    rest = rest.groupBy("plan_id").agg(joined(F.collect_list(F.struct("ord", "line"))).alias("alternates"))
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("seg_id")), lambda i: F.concat(F.lit("#"), i.cast("string"))), ",")
+    gone = removed.groupBy("plan_id", "kind").agg(F.concat("kind", F.lit(" "), ids).alias("x")).groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_list("x")), "; ").alias("removed"))
+    out = own.join(rest, "plan_id", "left").join(gone, "plan_id", "left")
+    return out.select("plan_id", "listing", F.coalesce("alternates", F.lit("")).alias("alternates"), F.coalesce("removed", F.lit("")).alias("removed"))
 
 
 def clean_bounds(frames: DataFrame, words: DataFrame, hop_ms: int, head_ms: int = 450) -> DataFrame:

@@ -115,3 +115,27 @@ def refined_edges(points: DataFrame, frames: DataFrame, hop_ms: int, *, around_m
     to = F.coalesce(F.col("_q._ft") + out * room_ms, F.col("_l._ft") + F.when(F.col("at_end"), hop_ms).otherwise(0), F.col("at_ms"))
     by = F.least(F.greatest(out * (to - F.col("at_ms")), F.lit(0)), F.col("extend_ms"))
     return points.join(found, key, "left").select(*points.columns, (F.col("at_ms") + out * by).cast("bigint").alias("time_ms"), F.col("_q").isNotNull().alias("clean"))
+
+
+def audible_edges(
+    edges: DataFrame, words: DataFrame, frames: DataFrame, hop_ms: int, *, outside_ms: int, loud_db: float = -12.0, cut_db: float = -20.0
+) -> DataFrame:
+    """Edges (seq_id, clip_ix, media_id, edge, t_ms) as they sound: seq_id, clip_ix, edge, t_ms, w, level_db, cuts, loud, bad.
+
+    ``level_db`` is the loudest frame just outside, relative to the speech
+    around; ``loud`` is more than ``loud_db``.  A word that an edge crosses
+    (``w``) is cut where more than ``cut_db`` is heard: times of words are often
+    a little late, so a silent edge within a word is fine.  Without sound
+    a crossed word counts as cut.  A level is measured once per place, however
+    many clips are cut there.
+    """
+    from cutloom.operators import assembly, timeline
+
+    place = F.struct("edge", "t_ms")
+    spots = edges.select("media_id", "edge", "t_ms").distinct().select("media_id", place.alias("edge_no"), "t_ms", F.when(F.col("edge") == "in", -1).otherwise(1).alias("side"))
+    levels = assembly.edge_levels(spots, frames, hop_ms, outside_ms).select("media_id", "edge_no.edge", "edge_no.t_ms", "level_db")
+    crossed = timeline.edges_in_words(edges, words)
+    x = edges.join(crossed, ["seq_id", "clip_ix", "edge", "t_ms"]).join(levels, ["media_id", "edge", "t_ms"], "left")
+    loud = F.coalesce(F.col("level_db") > loud_db, F.lit(False))
+    cuts = F.col("w").isNotNull() & F.coalesce(F.col("level_db") > cut_db, F.lit(True))
+    return x.select("seq_id", "clip_ix", "edge", "t_ms", "w", "level_db", cuts.alias("cuts"), loud.alias("loud"), (cuts | loud).alias("bad"))

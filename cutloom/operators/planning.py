@@ -214,3 +214,20 @@ def spread(candidates: DataFrame, most: int = 12) -> DataFrame:
         return pd.DataFrame(out, columns=["plan_id", "cand_no", "place"])
 
     return candidates.select("plan_id", "cand_no", "a", "b", "score10").groupBy("plan_id").applyInPandas(fold, "plan_id bigint, cand_no bigint, place bigint")
+
+
+def newest_names(items: DataFrame, part: str, key: str, at: str, name: str = "name") -> DataFrame:
+    """Items whose name holds a part, whatever its case and marks, by their place from the newest: (``key``, place).
+
+    Places are counted over ranges of time, each on its own, with the numbers of
+    newer ranges before, so that no task orders all items.
+    """
+    from cutloom.functions import text as X
+
+    hits = items.filter(X.normal(F.col(name)).contains(part)).select(key, at)
+    parts = hits.repartitionByRange(F.desc(at), F.desc(key)).withColumn("_p", F.spark_partition_id())
+    own = parts.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(F.desc(at), F.desc(key))))
+    # As many rows as there are partitions.
+    sizes = own.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    return own.join(before, "_p").select(key, (F.col("_n") + F.col("_b")).cast("int").alias("place"))

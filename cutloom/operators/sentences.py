@@ -309,3 +309,41 @@ def junk_words(words: DataFrame, phrases: list[str]) -> DataFrame:
 def segments_text(words: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
     return words.groupBy("media_id", "seg_id").agg(text.alias("text"))
+
+
+# What transcription invents where there is music, silence or nothing.
+INVENTED = (
+    r"(?i)titulky vytvořil|johnyx|titulky:|subtitles by|amara\.org|www\.|děkuji za pozornost|"
+    r"odebírejte|sledujte nás|titulky pro"
+)
+
+
+def without_inventions(words: DataFrame) -> DataFrame:
+    """Words with a letter or digit, of segments whose text holds nothing that is known to be invented."""
+    bad = segments_text(words).filter(F.col("text").rlike(INVENTED)).select("media_id", "seg_id")
+    return words.filter(F.col("w").rlike(r"[\p{L}\p{N}]")).join(bad, ["media_id", "seg_id"], "left_anti")
+
+
+def doubtful(words: DataFrame, min_ms: int = 4000) -> DataFrame:
+    """Segments to hear again, with why: invented, sparse or unsure (:func:`asr_flags`): media_id, seg_id, start_ms, end_ms, reason."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
+    s = words.groupBy("media_id", "seg_id").agg(
+        F.min("s_ms").alias("start_ms"), F.max("e_ms").alias("end_ms"), F.count("*").alias("_n"), F.sum(F.round(F.col("p") * 100).cast("bigint")).alias("_p"), text.alias("_t")
+    )
+    length = F.col("end_ms") - F.col("start_ms")
+    reason = F.when(F.col("_t").rlike(INVENTED), "invented").when((length > min_ms) & (F.col("_n") * 2000 < length), "sparse").when(F.col("_p") < 35 * F.col("_n"), "unsure")
+    return s.withColumn("reason", reason).filter("reason is not null").select("media_id", "seg_id", "start_ms", "end_ms", "reason")
+
+
+def accepted(fresh: DataFrame, silence: DataFrame, *, most_silent: float = 0.6, least_pct: int = 40) -> DataFrame:
+    """Segments heard again that count: (media_id, seg_id) of ``fresh`` words.
+
+    They have words, nothing invented, a chance of no speech (media_id, seg_id,
+    no_speech) of ``most_silent`` at most, and a mean probability of
+    ``least_pct`` percent.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
+    s = fresh.filter(F.trim("w") != "").groupBy("media_id", "seg_id").agg(F.count("*").alias("_n"), F.sum(F.round(F.col("p") * 100).cast("bigint")).alias("_p"), text.alias("_t"))
+    s = s.join(silence, ["media_id", "seg_id"], "left")
+    ok = ~F.col("_t").rlike(INVENTED) & (F.coalesce("no_speech", F.lit(0.0)) <= most_silent) & (F.col("_p") >= least_pct * F.col("_n"))
+    return s.filter(ok).select("media_id", "seg_id")

@@ -27,12 +27,17 @@ def narration(clips: DataFrame) -> DataFrame:
 
 
 def words_on_timeline(clips: DataFrame, words: DataFrame, slack_ms: int = 10) -> DataFrame:
-    """Words inside a clip's source range, in timeline time: seq_id, clip_ix, t0_ms, t1_ms, w, spk."""
-    c = clips.select("seq_id", "clip_ix", "media_id", "start_ms", "in_ms", "out_ms")
+    """Words inside a clip's source range, in timeline time: seq_id, clip_ix, t0_ms, t1_ms, w, spk.
+
+    A clip with another speed than 100 (``speed_pct``, null is 100) holds its
+    source that much faster; times are whole milliseconds, halves up.
+    """
+    speed = F.coalesce("speed_pct", F.lit(100)) if "speed_pct" in clips.columns else F.lit(100)
+    c = clips.select("seq_id", "clip_ix", "media_id", "start_ms", "in_ms", "out_ms", speed.alias("_speed"))
     met = intervals.overlap_join(words.select("media_id", "seg_id", "pos", "w", "s_ms", "e_ms", "spk"), c, ["media_id"], "s_ms", "e_ms", "in_ms", "out_ms")
     inside = met.filter((F.col("s_ms") >= F.col("in_ms") - slack_ms) & (F.col("e_ms") <= F.col("out_ms") + slack_ms))
-    shift = F.col("start_ms") - F.col("in_ms")
-    return inside.select("seq_id", "clip_ix", "seg_id", "pos", (F.col("s_ms") + shift).alias("t0_ms"), (F.col("e_ms") + shift).alias("t1_ms"), "w", "spk")
+    placed = lambda t: F.col("start_ms") + F.floor((2 * 100 * (F.col(t) - F.col("in_ms")) + F.col("_speed")) / (2 * F.col("_speed")))
+    return inside.select("seq_id", "clip_ix", "seg_id", "pos", placed("s_ms").alias("t0_ms"), placed("e_ms").alias("t1_ms"), "w", "spk")
 
 
 def used_sentences(clips: DataFrame, segments: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def x11(t: Tables) -> DataFrame:
     return briefs(t).select("media_id", "seg_id", assembly.target_length(F.col("brief")).alias("target_s"))
 
 
-@query("f10_brief_flags", LENGTHS + f"""SELECT media_id, seg_id, {_says(assembly.NO_HOST)} AS no_host, {_says(assembly.TEASER)} AS teaser,
+@query("f10_brief_flags", LENGTHS + f"""SELECT media_id, seg_id, {_says(assembly.NO_HOST)} AS no_host, {_says(assembly.TEASER)} AS teaser, {_says(assembly.TEASER)} AND coalesce(target_s <= 40, false) AS short_teaser,
 coalesce(target_s <= 60, false) AND NOT {_says(assembly.TEASER)} AND NOT {_says(assembly.OVERVIEW)} AS passage, {_says(assembly.INTENSE)} AS intense, {_says(assembly.BALANCE)} AS balance FROM le""")
 def f10(t: Tables) -> DataFrame:
     b = briefs(t)
@@ -165,13 +165,21 @@ def s13(t: Tables) -> DataFrame:
     return assembly.extended_backwards(t.clips, fixes)
 
 
-@query("s14_plan_listing", """, l AS (SELECT media_id, seg_id, CASE WHEN regexp_matches(tx, '^\\p{Ll}') THEN '~' ELSE '' END || printf('%d %s %.1f s: %s', seg_id, speaker, (end_ms - start_ms) / 1000.0, tx) AS line FROM (SELECT *, substr(text, 1 + seg_id % 2) AS tx FROM segments)),
+@query("s14_plan_listing", """, l AS (SELECT media_id, seg_id, CASE WHEN regexp_matches(tx, '^\\p{Ll}') THEN '~' ELSE '' END || printf('%d %s %d.%d s: %s', seg_id, speaker, (end_ms - start_ms + 50) // 1000, (end_ms - start_ms + 50) // 100 % 10, tx) AS line FROM (SELECT *, substr(text, 1 + seg_id % 2) AS tx FROM segments)),
 o AS (SELECT plan_id, string_agg(line, chr(10) ORDER BY ord) AS listing FROM picks JOIN l USING (media_id, seg_id) GROUP BY plan_id),
-r AS (SELECT DISTINCT p.plan_id, l.* FROM picks p JOIN l USING (media_id) WHERE NOT EXISTS (SELECT 1 FROM picks q WHERE q.plan_id = p.plan_id AND q.media_id = l.media_id AND q.seg_id = l.seg_id)),
-a AS (SELECT plan_id, string_agg(line, chr(10) ORDER BY n) AS alternates FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY media_id, seg_id) AS n FROM r) WHERE n <= 15 GROUP BY plan_id)
-SELECT o.plan_id, listing, coalesce(alternates, '') AS alternates FROM o LEFT JOIN a USING (plan_id)""")
+r AS (SELECT s.media_id AS plan_id, l.*, row_number() OVER (PARTITION BY s.media_id ORDER BY s.seg_id * 7 % 11, s.seg_id) AS n FROM segments s JOIN l USING (media_id, seg_id)
+  WHERE (s.seg_id * 3 + s.media_id) % 4 < 3 AND NOT EXISTS (SELECT 1 FROM picks q WHERE q.plan_id = s.media_id AND q.media_id = s.media_id AND q.seg_id = s.seg_id)),
+a AS (SELECT plan_id, string_agg(line, chr(10) ORDER BY n) AS alternates FROM r WHERE n <= 15 GROUP BY plan_id),
+k AS (SELECT media_id AS plan_id, CASE WHEN speaker = 'system' THEN 'moderator' ELSE 'off topic' END AS kind, seg_id FROM segments WHERE speaker = 'system' OR seg_id % 5 = 4),
+x AS (SELECT plan_id, kind || ' ' || string_agg('#' || seg_id, ',' ORDER BY seg_id) AS x FROM k GROUP BY plan_id, kind), y AS (SELECT plan_id, string_agg(x, '; ' ORDER BY x) AS removed FROM x GROUP BY plan_id)
+SELECT o.plan_id, listing, coalesce(alternates, '') AS alternates, coalesce(removed, '') AS removed FROM o LEFT JOIN a USING (plan_id) LEFT JOIN y USING (plan_id)""")
 def s14(t: Tables) -> DataFrame:
-    return assembly.plan_listing(t.picks, t.segments.withColumn("text", F.expr("substr(text, cast(1 + seg_id % 2 as int))")))
+    s, i = t.segments, F.col("seg_id")
+    plan = F.col("media_id").alias("plan_id")
+    alternates = s.filter((i * 3 + F.col("media_id")) % 4 < 3).select(plan, "media_id", (i * 7 % 11 * 100_000 + i).alias("ord"), "seg_id")
+    kind = F.when(F.col("speaker") == "system", "moderator").when(i % 5 == 4, "off topic")
+    removed = s.select(plan, kind.alias("kind"), "seg_id").filter("kind is not null")
+    return assembly.plan_listing(t.picks, s.withColumn("text", F.expr("substr(text, cast(1 + seg_id % 2 as int))")), alternates, removed)
 
 
 @query("w28_logo_bounds", """, fr AS (SELECT media_id, unnest(range(max(end_ms) // 100)) AS frame_no, max(end_ms) // 100 AS n FROM segments GROUP BY media_id), fl AS (SELECT *, frame_no < media_id % 12 OR frame_no >= n - media_id % 5 OR frame_no % 50 = 20 AS flagged FROM fr),

@@ -62,7 +62,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_id, clip_ix, media_id, kind, track, start_ms, end_ms, in_ms, out_ms, speed_pct, disabled: every second sentence, placed in order."""
+    """seq_id, clip_ix, media_id, kind, track, start_ms, end_ms, in_ms, out_ms, disabled: every second sentence, placed in order."""
     s = segments(spark, sf_dir).filter("(seg_id * 7 + media_id) % 2 = 0")
     w = W.partitionBy("media_id").orderBy("seg_id")
     length = F.col("end_ms") - F.col("start_ms")
