@@ -275,19 +275,25 @@ def camera_accuracy(truth: DataFrame, runs: DataFrame, cameras: dict[str, int],
     return seen.groupBy("media_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("cam") == F.col("_want"), F.lit(False)).cast("bigint")).alias("hits"))
 
 
-def name_tags(tags: DataFrame, shots: DataFrame) -> DataFrame:
+def name_tags(tags: DataFrame, shots: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Name tags (media_id, tag_no, person, t_ms) placed where the person is seen long enough: media_id, tag_no, person, t_ms, dur_ms.
 
     A tag first goes to the person's first wide shot (media_id, person,
     start_ms, end_ms) from a second before it to 90 seconds after it; then to
     the first unbroken run of such shots that begins at most three seconds
     before and leaves two seconds of it.  Without one it stays, and is short.
+    The tag of a host (media_id, person) first goes to the recording's first
+    wide shot, whoever is in it.
     """
     from cutloom.operators import intervals
 
     on = ["media_id", "person"]
     near = intervals.neighbours(tags.withColumn("_at", F.col("t_ms") - 1000), shots.select(*on, "start_ms").distinct(), on, "_at", "start_ms")
     moved = F.when(F.col("next_ms") <= F.col("t_ms") + 90_000, F.col("next_ms") + 100).otherwise(F.col("t_ms"))
+    if hosts is not None:
+        first = shots.groupBy("media_id").agg(F.min("start_ms").alias("_first"))
+        near = near.join(hosts.select(*on, F.lit(True).alias("_host")).distinct(), on, "left").join(first, "media_id", "left")
+        moved = F.when(F.col("_host"), F.coalesce(F.col("_first") + 200, F.col("t_ms"))).otherwise(moved)
     t = near.select(*on, "tag_no", moved.alias("_ref")).withColumn("_lo", F.col("_ref") - 3000).withColumn("_hi", F.col("_ref") - 501)
     w = W.partitionBy("media_id").orderBy("start_ms", "end_ms")
     change = F.coalesce((F.lag("person").over(w) != F.col("person")) | (F.abs(F.lag("end_ms").over(w) - F.col("start_ms")) >= 80), F.lit(True))
@@ -321,3 +327,20 @@ def free_tracks(audio: DataFrame) -> DataFrame:
     got = F.aggregate("_a", F.array().cast("array<bigint>"), taken)
     x = F.explode(F.zip_with("_a", got, lambda a, t: F.struct(a["item_no"].alias("item_no"), t.alias("track"), (a["track"] != t).alias("moved"))))
     return per.select("seq_id", x.alias("x")).select("seq_id", "x.*")
+
+
+def audio_beds(spans: DataFrame, sounds: DataFrame) -> DataFrame:
+    """The sound under every range: media_id, range_no, source, track, in_ms, at_ms, dur_ms.
+
+    ``spans`` (media_id, range_no, start_ms, end_ms) follow one another on the
+    timeline; ``sounds`` (media_id, source, offset_ms, track) begin so much later
+    than the cameras' time.  What would begin before a sound did is trimmed, and
+    what is left of 20 ms or less goes.
+    """
+    w = W.partitionBy("media_id").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    dur = F.col("end_ms") - F.col("start_ms")
+    at = spans.select("media_id", "range_no", "start_ms", dur.alias("_d"), F.coalesce(F.sum(dur).over(w), F.lit(0)).alias("_at"))
+    r = at.join(sounds, "media_id").withColumn("_in", F.col("start_ms") - F.col("offset_ms"))
+    lost = F.greatest(F.lit(0), -F.col("_in"))
+    out = r.select("media_id", "range_no", "source", F.coalesce("track", F.lit(0)).alias("track"), (F.col("_in") + lost).alias("in_ms"), (F.col("_at") + lost).alias("at_ms"), (F.col("_d") - lost).alias("dur_ms"))
+    return out.filter("dur_ms > 20")

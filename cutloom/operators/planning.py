@@ -231,3 +231,47 @@ def newest_names(items: DataFrame, part: str, key: str, at: str, name: str = "na
     sizes = own.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     return own.join(before, "_p").select(key, (F.col("_n") + F.col("_b")).cast("int").alias("place"))
+
+
+def voice_over_segments(segments: DataFrame, *, lead_ms: int = 250, least_ms: int = 50) -> DataFrame:
+    """Pictures under a voice: job_id, ord, source, in_ms, at_ms, dur_ms.
+
+    ``segments`` (job_id, ord, source, in_ms, at_ms, start_ms, total_ms,
+    media_ms) lie where ``at_ms`` says, else ``lead_ms`` before their sentence's
+    start; those with neither go.  The first begins at 0, each lasts until the
+    next, the last until the end of the voice; of ``least_ms`` or less they go.
+    A picture that would run beyond the end of its recording (``media_ms``, null
+    if unknown) begins earlier in it, at 0 at most.
+    """
+    s = segments.withColumn("at_ms", F.coalesce("at_ms", F.when(F.col("start_ms").isNotNull(), F.greatest(F.lit(0), F.col("start_ms") - lead_ms)))).filter("at_ms is not null")
+    w = W.partitionBy("job_id").orderBy("at_ms", "ord")
+    s = s.withColumn("_at", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("at_ms")))
+    s = s.withColumn("dur_ms", F.coalesce(F.lead("at_ms").over(w), F.col("total_ms")) - F.col("_at")).filter(F.col("dur_ms") > least_ms)
+    pulled = F.when(F.col("in_ms") + F.col("dur_ms") > F.col("media_ms"), F.greatest(F.lit(0), F.col("media_ms") - F.col("dur_ms"))).otherwise(F.col("in_ms"))
+    return s.select("job_id", "ord", "source", pulled.cast("bigint").alias("in_ms"), F.col("_at").cast("bigint").alias("at_ms"), F.col("dur_ms").cast("bigint").alias("dur_ms"))
+
+
+def with_pairs(picks: DataFrame, segments: DataFrame, excluded: DataFrame, mark: str = r"\?\s*$") -> DataFrame:
+    """Picks (plan_id, media_id, seg_id) with the other half of every question and answer: plan_id, media_id, seg_id, added.
+
+    A question (``segments``: media_id, seg_id, text, speaker) ends with its mark
+    and is followed by the next number, of another speaker, or both have none.
+    A picked answer gets its question; a picked question, or one that came in as
+    an answer, gets its answer, so that a chain of questions is followed to its
+    end.  Sentences of excluded speakers (media_id, speaker) don't come in.
+    """
+    w = W.partitionBy("media_id").orderBy("seg_id")
+    other = (F.col("speaker") != F.lead("speaker").over(w)) | (F.col("speaker").isNull() & F.lead("speaker").over(w).isNull())
+    follows = F.lead("seg_id").over(w) == F.col("seg_id") + 1
+    s = segments.join(excluded.select("media_id", "speaker", F.lit(True).alias("_out")).distinct(), ["media_id", "speaker"], "left")
+    s = s.select("media_id", "seg_id", F.coalesce(F.col("text").rlike(mark) & other & follows, F.lit(False)).alias("_q"), F.coalesce("_out", F.lit(False)).alias("_out"))
+    p = picks.select("plan_id", "media_id", "seg_id").distinct().withColumn("_kept", F.lit(True))
+    x = p.select("plan_id", "media_id").distinct().join(s, "media_id").join(p, ["plan_id", "media_id", "seg_id"], "left")
+    near = W.partitionBy("plan_id", "media_id").orderBy("seg_id")
+    kept = F.coalesce("_kept", F.lit(False))
+    x = x.withColumn("_base", kept | (F.col("_q") & ~F.col("_out") & F.coalesce(F.lead("_kept").over(near), F.lit(False))))
+    # A run goes on where the sentence before is a question; in it, what is there stays there.
+    new = ~F.coalesce(F.lag("_q").over(near), F.lit(False)) | F.col("_out")
+    x = x.withColumn("_run", F.sum(new.cast("int")).over(near))
+    held = F.max("_base").over(W.partitionBy("plan_id", "media_id", "_run").orderBy("seg_id"))
+    return x.withColumn("_held", held).filter("_held").select("plan_id", "media_id", "seg_id", (~kept).alias("added"))

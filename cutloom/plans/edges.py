@@ -45,7 +45,7 @@ def m07(t: Tables) -> DataFrame:
     return multicam.camera_accuracy(t.turns, runs, {"user": 1, "assistant": 2})
 
 
-@query("j16_name_tags", """, sh AS (SELECT media_id, CASE WHEN seg_id % 6 < 3 THEN 'a' ELSE 'b' END AS person, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY media_id ORDER BY seg_id) - seg_id % 4 * 40, end_ms) AS end_ms FROM segments),
+TAGS = """, sh AS (SELECT media_id, CASE WHEN seg_id % 6 < 3 THEN 'a' ELSE 'b' END AS person, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY media_id ORDER BY seg_id) - seg_id % 4 * 40, end_ms) AS end_ms FROM segments),
 tags AS (SELECT media_id, seg_id AS tag_no, CASE WHEN seg_id % 3 = 0 THEN 'a' ELSE 'b' END AS person, start_ms + seg_id % 5 * 900 AS t_ms FROM segments),
 ref AS (SELECT media_id, tag_no, person, coalesce((SELECT min(start_ms) FROM sh WHERE sh.media_id = t.media_id AND sh.person = t.person AND start_ms BETWEEN t_ms - 1000 AND t_ms + 90000) + 100, t_ms) AS ref FROM tags t),
 ch AS (SELECT *, coalesce(lag(person) OVER w <> person OR abs(lag(end_ms) OVER w - start_ms) >= 80, true) AS new FROM sh WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, end_ms)),
@@ -53,13 +53,28 @@ rn AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY media_i
 runs AS (SELECT media_id, person, min(start_ms) AS a, max(end_ms) AS b FROM rn GROUP BY media_id, person, run),
 best AS (SELECT f.media_id, tag_no, min(a) AS a, arg_min(b, a) AS b FROM ref f JOIN runs r ON f.media_id = r.media_id AND f.person = r.person AND a >= ref - 3000 AND b - (greatest(a, ref - 500) + 120) >= 2000 GROUP BY ALL)
 SELECT f.media_id, f.tag_no, person, CASE WHEN a IS NULL THEN ref ELSE greatest(a, ref - 500) + 120 END AS t_ms, CASE WHEN a IS NULL THEN 2500 ELSE least(3800, b - (greatest(a, ref - 500) + 120) - 50) END AS dur_ms
-FROM ref f LEFT JOIN best b ON f.media_id = b.media_id AND f.tag_no = b.tag_no""")
-def j16(t: Tables) -> DataFrame:
+FROM ref f LEFT JOIN best b ON f.media_id = b.media_id AND f.tag_no = b.tag_no"""
+# A host's tag goes to the first shot of all.
+HOST = "coalesce((SELECT min(start_ms) FROM sh WHERE sh.media_id = t.media_id) + 200, t_ms)"
+
+
+def name_tags_sql(*, hosts: bool) -> str:
+    own = "coalesce((SELECT min(start_ms) FROM sh WHERE sh.media_id = t.media_id AND sh.person = t.person AND start_ms BETWEEN t_ms - 1000 AND t_ms + 90000) + 100, t_ms)"
+    assert own in TAGS
+    return TAGS.replace(own, f"CASE WHEN person = 'a' AND media_id % 2 = 0 THEN {HOST} ELSE {own} END") if hosts else TAGS
+
+
+def name_tag_shots(t: Tables) -> tuple[DataFrame, DataFrame]:
     s = t.segments
     nxt = F.lead("start_ms").over(W.partitionBy("media_id").orderBy("seg_id")) - F.col("seg_id") % 4 * 40
     shots = s.select("media_id", F.when(F.col("seg_id") % 6 < 3, "a").otherwise("b").alias("person"), "start_ms", F.coalesce(nxt, F.col("end_ms")).alias("end_ms"))
     tags = s.select("media_id", F.col("seg_id").alias("tag_no"), F.when(F.col("seg_id") % 3 == 0, "a").otherwise("b").alias("person"), (F.col("start_ms") + F.col("seg_id") % 5 * 900).alias("t_ms"))
-    return multicam.name_tags(tags, shots)
+    return tags, shots
+
+
+@query("j16_name_tags", TAGS)
+def j16(t: Tables) -> DataFrame:
+    return multicam.name_tags(*name_tag_shots(t))
 
 
 @query("x10_spread", """, ln AS (SELECT media_id, seg_id AS block_no, pos // 6 AS line_no, string_agg(w, ' ' ORDER BY pos) AS text FROM words GROUP BY ALL),
