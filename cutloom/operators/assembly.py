@@ -268,9 +268,13 @@ def spread(texts: DataFrame, spans: DataFrame) -> DataFrame:
     t = texts.select("text_id", "pos", (F.sum(chars).over(w) - chars).alias("_c"), F.sum(chars).over(W.partitionBy("text_id")).alias("_all"))
     by = W.partitionBy("text_id").orderBy("a_ms")
     size = F.col("b_ms") - F.col("a_ms")
-    s = spans.select("text_id", "a_ms", (F.sum(size).over(by) - size).alias("_from"), F.sum(size).over(by).alias("_to"), F.sum(size).over(W.partitionBy("text_id")).alias("_sum"))
-    j = t.join(s, "text_id").withColumn("_x", F.floor(F.col("_c") * F.col("_sum") / F.col("_all"))).filter("_x >= _from and _x < _to")
-    return j.select("text_id", "pos", (F.col("a_ms") + F.col("_x") - F.col("_from")).alias("t_ms"))
+    s = spans.filter(size > 0).select("text_id", "a_ms", size.alias("_size"), (F.sum(size).over(by) - size).alias("_x"))
+    total = s.groupBy("text_id").agg(F.sum("_size").alias("_sum"))
+    # Words and spans in the order of spoken time, one sorted union: a word lies in the last span that began.
+    words = t.join(total, "text_id").select("text_id", "pos", F.floor(F.col("_c") * F.col("_sum") / F.col("_all")).alias("_x"))
+    both = words.unionByName(s.select("text_id", "_x", (F.col("a_ms") - F.col("_x")).alias("_off")), allowMissingColumns=True)
+    last = F.last("_off", True).over(W.partitionBy("text_id").orderBy("_x", F.col("pos").isNotNull()).rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("_o", last).filter("pos is not null").select("text_id", "pos", (F.col("_x") + F.col("_o")).alias("t_ms"))
 
 
 def repaired_json(text: str | None) -> str:

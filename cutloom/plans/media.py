@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from cutloom.operators import audio, captions, multicam, quality, shots, timeline
 from cutloom.plans.registry import Tables, query
 
-# Sentences as cues: a table both engines can make.
-CUES = """, cues AS (SELECT media_id AS seq_id, seg_id AS ord, start_ms AS t0_ms, CASE WHEN seg_id % 5 = 0 THEN end_ms + 700 ELSE end_ms END AS t1_ms, substr(text, 1 + (seg_id % 2), 90) AS text, 1 + (seg_id - 1) // 4 AS clip_ix FROM segments),
+# Whole sentences as cues of 90 characters each: a table both engines can make.
+CUES = """, cu0 AS (SELECT media_id, seg_id, start_ms, end_ms - start_ms AS dur, substr(text, 1 + (seg_id % 2)) AS text, greatest(1, (length(text) - seg_id % 2 + 89) // 90) AS n FROM segments),
+cu1 AS (SELECT *, unnest(range(n)) AS k FROM cu0),
+cues AS (SELECT media_id AS seq_id, seg_id * 1000 + k AS ord, start_ms + dur * k // n AS t0_ms, start_ms + dur * (k + 1) // n + CASE WHEN seg_id % 5 = 0 AND k = n - 1 THEN 700 ELSE 0 END AS t1_ms, substr(text, 1 + 90 * k, 90) AS text, 1 + (seg_id - 1) // 4 AS clip_ix FROM cu1),
 cue_clips AS (SELECT seq_id, clip_ix, min(t0_ms) - 50 AS start_ms, max(t1_ms) + 300 AS end_ms FROM cues GROUP BY seq_id, clip_ix)
 """
 
 
 def cues(t: Tables) -> DataFrame:
-    s = t.segments
+    i, dur = F.col("seg_id"), F.col("end_ms") - F.col("start_ms")
+    s = t.segments.withColumn("text", F.substr("text", 1 + (i % 2).cast("int"))).withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("text") / 90)).cast("bigint"))
+    s = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    part = lambda k: F.col("start_ms") + F.floor(dur * k / F.col("n"))
     return s.select(
-        F.col("media_id").alias("seq_id"), F.col("seg_id").alias("ord"), F.col("start_ms").alias("t0_ms"),
-        (F.col("end_ms") + F.when(F.col("seg_id") % 5 == 0, 700).otherwise(0)).alias("t1_ms"),
-        F.substr("text", 1 + (F.col("seg_id") % 2).cast("int"), F.lit(90)).alias("text"), (1 + F.floor((F.col("seg_id") - 1) / 4)).alias("clip_ix"),
+        F.col("media_id").alias("seq_id"), (i * 1000 + F.col("k")).alias("ord"), part(F.col("k")).alias("t0_ms"),
+        (part(F.col("k") + 1) + F.when((i % 5 == 0) & (F.col("k") == F.col("n") - 1), 700).otherwise(0)).alias("t1_ms"),
+        F.substr("text", (1 + 90 * F.col("k")).cast("int"), F.lit(90)).alias("text"), (1 + F.floor((i - 1) / 4)).alias("clip_ix"),
     )
 
 

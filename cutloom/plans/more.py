@@ -178,7 +178,8 @@ def v01(t: Tables) -> DataFrame:
 @query("j09_matched_voices")
 def j09(t: Tables) -> DataFrame:
     c = speakers.centroids(voice_chunks(t).withColumn("k", F.struct("media_id", "label")), "k", "vec")
-    lib = t.embeddings.filter("vec_id < 10").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.col("embedding").cast("array<double>").alias("vec"))
+    lib = speakers.centroids(t.embeddings.filter("label is not null").select("label", F.col("embedding").cast("array<double>").alias("vec")), "label", "vec")
+    lib = lib.select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("name"), F.col("centroid").alias("vec"))
     return speakers.matched_voices(c.select("k.media_id", F.col("k.label").cast("string").alias("speaker"), F.col("centroid").alias("vec")), lib, 0.1)
 
 

@@ -297,14 +297,15 @@ def a08(t: Tables) -> DataFrame:
     return c.select("label", F.posexplode("centroid").alias("d", "v")).select("label", F.col("d").cast("bigint").alias("d"), F.round("v", 6).alias("v"))
 
 
-@query("v02_nearest_voice", """WITH lib AS (SELECT 'v' || vec_id AS name, embedding AS lv FROM embeddings WHERE vec_id < 8),
-s AS (SELECT vec_id, name, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(lv AS DOUBLE[])) AS c FROM embeddings, lib WHERE vec_id >= 8),
+@query("v02_nearest_voice", """WITH cd AS (SELECT label, d, avg(v) AS v FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS d FROM embeddings WHERE label IS NOT NULL) GROUP BY label, d),
+lib AS (SELECT 'v' || label AS name, list(v ORDER BY d) AS lv FROM cd GROUP BY label),
+s AS (SELECT vec_id, name, list_cosine_similarity(CAST(embedding AS DOUBLE[]), lv) AS c FROM embeddings, lib),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, name DESC) AS r, lead(c) OVER (PARTITION BY vec_id ORDER BY c DESC, name DESC) AS c2 FROM s)
 SELECT vec_id, name, round(c, 6) AS similarity, round(c - c2, 6) AS margin, c - c2 < 0.05 AS unsure FROM r WHERE r = 1""", base=False)
 def v02(t: Tables) -> DataFrame:
-    e = t.embeddings
-    library = e.filter("vec_id < 8").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.col("embedding").alias("lv"))
-    found = speakers.nearest(e.filter("vec_id >= 8").select("vec_id", "embedding"), library, "embedding", "name", "lv")
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    library = speakers.centroids(e.filter("label is not null"), "label", "embedding").select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("name"), F.col("centroid").alias("lv"))
+    found = speakers.nearest(e.select("vec_id", "embedding"), library, "embedding", "name", "lv")
     return found.withColumns({"similarity": F.round("similarity", 6), "margin": F.round("margin", 6)})
 
 
