@@ -72,9 +72,10 @@ def x07(t: Tables) -> DataFrame:
     return cues(t).select("seq_id", "ord", captions.wrapped(F.col("text")).alias("lines"))
 
 
-@query("s07_s08_srt_round_trip", CUES + "SELECT seq_id, ord, t0_ms, t1_ms FROM cues")
+@query("s07_s08_srt_round_trip", CUES + r"SELECT seq_id, ord, t0_ms, t1_ms, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' ') AS text FROM cues")
 def s08(t: Tables) -> DataFrame:
-    return captions.parsed_srt(captions.srt(cues(t))).select("seq_id", "ord", "t0_ms", "t1_ms")
+    parsed = captions.parsed_srt(captions.srt(cues(t)))
+    return parsed.select("seq_id", "ord", "t0_ms", "t1_ms", F.array_join(F.filter(F.split(F.array_join("lines", " "), r"\s+"), lambda x: x != ""), " ").alias("text"))
 
 
 @query("q01_caption_issues", CUES + r""", ql AS (SELECT *, text AS l1, t1_ms - t0_ms AS d, lag(text) OVER w AS pt, lag(t1_ms) OVER w AS pe FROM cues WINDOW w AS (PARTITION BY seq_id ORDER BY ord))

@@ -74,10 +74,10 @@ def s09(t: Tables) -> DataFrame:
     return files.plan_picks(told)
 
 
-@query("s05_result_keys", "SELECT count(*) AS left_over FROM documents WHERE doc_id % 3 <> 0", base=False)
+@query("s05_result_keys", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0", base=False)
 def s05(t: Tables) -> DataFrame:
     jobs = t.documents.select("doc_id", files.result_key(F.col("source"), F.col("n_chars"), F.col("doc_id")).alias("key"))
-    return files.to_do(jobs, jobs.filter("doc_id % 3 = 0")).agg(F.count("*").alias("left_over"))
+    return files.to_do(jobs, jobs.filter("doc_id % 3 = 0")).select("doc_id")
 
 
 @query("s04_original_path", "SELECT source AS path, doc_id, CASE source WHEN 'src1' THEN 'film1' WHEN 'src2' THEN 'film2' ELSE source END AS original FROM documents", base=False)
@@ -138,11 +138,21 @@ def a13(t: Tables) -> DataFrame:
     return planning.topic_seconds(units(t), t.picks.select("plan_id", F.col("seg_id").alias("unit")))
 
 
-@query("f11_translation_check", r"SELECT media_id * 1000 + seg_id AS id, CASE WHEN length(text) > 3 * length(substr(text, 1, 20)) + 25 THEN 'rejected' WHEN regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g') = regexp_replace(strip_accents(lower(substr(text, 1, 20))), '[^\p{L}\p{N}]+', ' ', 'g') THEN 'untranslated' ELSE 'ok' END AS verdict FROM segments WHERE NOT contains(text, 'ß') AND regexp_matches(substr(text, 1, 20), '\p{L}{3}') AND NOT regexp_matches(substr(text, 1, 20), '^[^\p{L}\p{N}]|[^\p{L}\p{N}]$')")
+# Translations of whole sentences: the same words with other marks, many times the length, alternatives, or another sentence.
+TRANSLATED = r""", tl AS (SELECT media_id * 1000 + seg_id AS id, text AS src, CASE seg_id % 5 WHEN 0 THEN '« ' || upper(replace(text, 'ß', 's')) || ' !' WHEN 1 THEN text || ' ' || text || ' ' || text || ' ' || text || ' and more than was ever said here' WHEN 2 THEN text || ' / x' WHEN 3 THEN '-- ' || lower(text) || '…' ELSE substr(text, 8) END AS out FROM segments
+UNION ALL SELECT -(media_id * 1000 + seg_id), substr(text, 1, CAST(seg_id % 4 AS INTEGER)), upper(substr(text, 1, CAST(seg_id % 4 AS INTEGER))) FROM segments),
+tn AS (SELECT *, trim(regexp_replace(strip_accents(lower(src)), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(strip_accents(lower(out)), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM tl)
+SELECT id, CASE WHEN NOT regexp_matches(src, '\p{L}{2}') THEN 'ok' WHEN length(out) > 3 * length(src) + 25 OR contains(out, ' / ') THEN 'rejected' WHEN a = b AND regexp_matches(src, '\p{L}{3}') THEN 'untranslated' ELSE 'ok' END AS verdict FROM tn"""
+
+
+@query("f11_translation_check", TRANSLATED)
 def f11(t: Tables) -> DataFrame:
-    head = F.substring("text", 1, 20)
-    s = t.segments.filter(~F.contains("text", F.lit("ß")) & head.rlike(r"\p{L}{3}") & ~head.rlike(r"^[^\p{L}\p{N}]|[^\p{L}\p{N}]$"))
-    pairs = s.select((F.col("media_id") * 1000 + F.col("seg_id")).alias("id"), head.alias("src"), F.col("text").alias("out"))
+    i, x = F.col("seg_id"), F.col("text")
+    kind = i % 5
+    out = F.when(kind == 0, F.concat(F.lit("« "), F.upper(F.replace(x, F.lit("ß"), F.lit("s"))), F.lit(" !"))).when(kind == 1, F.concat(F.concat_ws(" ", x, x, x, x), F.lit(" and more than was ever said here")))
+    out = out.when(kind == 2, F.concat(x, F.lit(" / x"))).when(kind == 3, F.concat(F.lit("-- "), F.lower(x), F.lit("…"))).otherwise(F.substr(x, F.lit(8)))
+    number, head = F.col("media_id") * 1000 + i, F.substr(x, F.lit(1), (i % 4).cast("int"))
+    pairs = t.segments.select(number.alias("id"), x.alias("src"), out.alias("out")).unionByName(t.segments.select((-number).alias("id"), head.alias("src"), F.upper(head).alias("out")))
     return planning.translation_check(pairs)
 
 
@@ -269,12 +279,12 @@ def x14(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(20 * F.log10(F.greatest(F.col("value") / 1000, F.lit(1e-7))), 6).alias("db"))
 
 
-@query("x04_caption_fixes", "SELECT media_id, seg_id, pos, CASE regexp_replace(strip_accents(lower(w)), '[.,;:!?]+$', '') WHEN 'the' THEN 'THE' WHEN 'et' THEN 'ET' ELSE regexp_replace(w, '[.,;:!?]+$', '') END || regexp_extract(w, '[.,;:!?]+$') AS w FROM words WHERE NOT contains(w, 'ß')")
+@query("x04_caption_fixes", "SELECT media_id, seg_id, pos, CASE regexp_replace(strip_accents(lower(w)), '[.,;:!?]+$', '') WHEN 'the' THEN 'THE' WHEN 'et' THEN 'ET' ELSE regexp_replace(w, '[.,;:!?]+$', '') END || regexp_extract(w, '[.,;:!?]+$') AS w FROM words")
 def x04(t: Tables) -> DataFrame:
     fixes = F.create_map(F.lit("the"), F.lit("THE"), F.lit("et"), F.lit("ET"))
     bare, tail = F.regexp_replace("w", r"[.,;:!?]+$", ""), F.regexp_extract("w", r"[.,;:!?]+$", 0)
     fixed = F.coalesce(F.try_element_at(fixes, X.normal(bare)), bare)
-    return t.words.filter(~F.contains("w", F.lit("ß"))).select("media_id", "seg_id", "pos", F.concat(fixed, tail).alias("w"))
+    return t.words.select("media_id", "seg_id", "pos", F.concat(fixed, tail).alias("w"))
 
 
 @query("a07_script_split", r", s AS (SELECT p.plan_id, CASE WHEN regexp_matches(text, '\p{Cyrillic}') THEN 'cyrillic' ELSE 'latin' END AS script FROM picks p JOIN segments s ON p.media_id = s.media_id AND p.seg_id = s.seg_id) SELECT plan_id, script, count(*) AS n FROM s GROUP BY ALL")

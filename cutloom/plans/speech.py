@@ -315,9 +315,9 @@ def x02(t: Tables) -> DataFrame:
     return X.phrase_hits(t.segments, "of the")
 
 
-@query("x01_normal", "SELECT doc_id, md5(strip_accents(lower(replace(text, 'ß', 's')))) AS m FROM documents", base=False)
+@query("x01_normal", "SELECT doc_id, md5(strip_accents(lower(text))) AS m FROM documents", base=False)
 def x01(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(X.normal(F.replace(F.col("text"), F.lit("ß"), F.lit("s")))).alias("m"))
+    return t.documents.select("doc_id", F.md5(X.normal(F.col("text"))).alias("m"))
 
 
 @query("x05_timecodes", """SELECT media_id, seg_id, printf('%02d:%02d:%02d.%02d', start_ms // 3600000, (start_ms // 60000) % 60, (start_ms // 1000) % 60, (start_ms // 10) % 100) AS tc,
