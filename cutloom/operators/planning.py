@@ -275,3 +275,29 @@ def with_pairs(picks: DataFrame, segments: DataFrame, excluded: DataFrame, mark:
     x = x.withColumn("_run", F.sum(new.cast("int")).over(near))
     held = F.max("_base").over(W.partitionBy("plan_id", "media_id", "_run").orderBy("seg_id"))
     return x.withColumn("_held", held).filter("_held").select("plan_id", "media_id", "seg_id", (~kept).alias("added"))
+
+
+def outline_units(picks: DataFrame, segments: DataFrame) -> DataFrame:
+    """Picked sentences that must not be parted as units: plan_id, media_id, unit, first_id, n, dur_ms, priority, core, topic, score, speaker.
+
+    ``picks`` has plan_id, media_id, seg_id, priority, core, topic and score,
+    ``segments`` start_ms, end_ms, speaker and the flags question (answered by
+    the next sentence) and goes_on.  A picked sentence belongs to the unit of the
+    picked one with the number before if that is a question or it goes on from
+    it.  A unit has its smallest priority, is core if any of it is, has its first
+    topic and its first sentence's score; its speaker is who speaks longest in
+    it, the earlier one on a tie.
+    """
+    s = picks.join(segments.select("media_id", "seg_id", "start_ms", "end_ms", "speaker", "question", "goes_on"), ["media_id", "seg_id"])
+    w = W.partitionBy("plan_id", "media_id").orderBy("seg_id")
+    joined = (F.col("seg_id") == F.lag("seg_id").over(w) + 1) & (F.lag("question").over(w) | F.col("goes_on"))
+    s = s.withColumn("unit", F.sum(F.when(joined, 0).otherwise(1)).over(w)).withColumn("_ms", F.col("end_ms") - F.col("start_ms"))
+    key = ["plan_id", "media_id", "unit"]
+    said = s.groupBy(*key, F.coalesce("speaker", F.lit("")).alias("_who")).agg(F.sum("_ms").alias("_t"), F.min("seg_id").alias("_i"))
+    said = said.groupBy(*key).agg(F.max_by("_who", F.struct("_t", -F.col("_i"))).alias("speaker"))
+    topic = F.min(F.when(F.col("topic").isNotNull(), F.struct("seg_id", "topic")))["topic"]
+    u = s.groupBy(*key).agg(
+        F.min("seg_id").alias("first_id"), F.count("*").alias("n"), F.sum("_ms").alias("dur_ms"), F.min("priority").alias("priority"), F.bool_or("core").alias("core"),
+        topic.alias("topic"), F.min_by("score", "seg_id").alias("score"),
+    )
+    return u.join(said, key)

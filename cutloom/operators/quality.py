@@ -142,3 +142,23 @@ def word_deviations(ref: DataFrame, hyp: DataFrame) -> DataFrame:
 
     both = words(ref, "ref").join(words(hyp, "hyp"), "media_id", "full")
     return both.mapInPandas(run, "media_id bigint, n_ref bigint, errors bigint, matched bigint, mean_ms double, p95_ms bigint")
+
+
+def measure_ranges(rounds: DataFrame) -> DataFrame:
+    """Measures of rounds (plan_id, round, measure, value): plan_id, measure, rounds, mean, least, most."""
+    return rounds.groupBy("plan_id", "measure").agg(F.count_distinct("round").alias("rounds"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+def run_summary(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs (length, target, overlap, clean; length is null where nothing was made) in sum: ``by``, runs, made, clean, overlap, off_pct.
+
+    ``overlap`` and ``off_pct``, the deviation of lengths in percent of their
+    targets, are means over what was made, whole numbers, halves up; 0 where
+    there is none.
+    """
+    made = F.col("length").isNotNull()
+    whole = lambda c: F.coalesce(F.floor(c + 0.5), F.lit(0)).cast("bigint")
+    off = F.when(made, F.abs(F.col("length") - F.col("target")) * 100 / F.col("target"))
+    return runs.groupBy(*by).agg(
+        F.count("*").alias("runs"), F.count_if(made).alias("made"), F.count_if(made & F.col("clean")).alias("clean"), whole(F.avg(F.when(made, F.col("overlap")))).alias("overlap"), whole(F.avg(off)).alias("off_pct")
+    )

@@ -250,3 +250,47 @@ def edit_quality(used: DataFrame, segments: DataFrame, moderators: DataFrame, ke
         F.count("*").alias("sentences"), F.count_if(F.coalesce("_mod", F.lit(False))).alias("by_moderator"), F.count_if(F.col("_low") & F.col("_hp").isNull()).alias("fragments"),
         F.count_if(cut).alias("unfinished"), F.count_if(topic).alias("on_topic"),
     )
+
+
+def speaker_share(used: DataFrame, segments: DataFrame) -> DataFrame:
+    """How an edit's time is shared (used: seq_id, media_id, seg_id): seq_id, speaker, ms, pct (floored)."""
+    s = used.join(segments.select("media_id", "seg_id", "speaker", (F.col("end_ms") - F.col("start_ms")).alias("_ms")), ["media_id", "seg_id"])
+    per = s.groupBy("seq_id", F.coalesce("speaker", F.lit("?")).alias("speaker")).agg(F.sum("_ms").alias("ms"))
+    return per.withColumn("pct", F.floor(F.col("ms") * 100 / F.nullif(F.sum("ms").over(W.partitionBy("seq_id")), F.lit(0))))
+
+
+def unplaced(points: DataFrame, items: DataFrame) -> DataFrame:
+    """Source times (media_id, t_ms) that no timeline's item holds, to be warned of."""
+    return points.select("media_id", "t_ms").distinct().join(place(points, items).select("media_id", "t_ms").distinct(), ["media_id", "t_ms"], "left_anti")
+
+
+def matched_fixes(clips: DataFrame, fixes: DataFrame, near_ms: int = 60) -> DataFrame:
+    """Manual fixes (seq_id, fix_no, old_ms, new_ms) with the first clip that begins there: seq_id, fix_no, clip_ix, pos_ms, more_ms.
+
+    A clip begins there if its in point is less than ``near_ms`` away; fixes of
+    none have nulls, and were made already.
+    """
+    f = fixes.withColumns({"_lo": F.col("old_ms") - near_ms + 1, "_hi": F.col("old_ms") + near_ms - 1})
+    met = intervals.overlap_join(f, clips.select("seq_id", "clip_ix", "in_ms", F.col("start_ms").alias("_s")), ["seq_id"], "_lo", "_hi", "in_ms", "in_ms")
+    first = met.groupBy("seq_id", "fix_no").agg(F.min(F.struct("clip_ix", "_s")).alias("_f"))
+    found = fixes.join(first, ["seq_id", "fix_no"], "left")
+    return found.select("seq_id", "fix_no", F.col("_f.clip_ix").alias("clip_ix"), F.col("_f._s").alias("pos_ms"), F.when(F.col("_f").isNotNull(), F.col("old_ms") - F.col("new_ms")).alias("more_ms"))
+
+
+def shifted_by(things: DataFrame, matched: DataFrame, near_ms: int = 10) -> DataFrame:
+    """Sounds and titles (seq_id, thing_no, start_ms, end_ms, and keys or null: array of (t, v)) after fixes of :func:`matched_fixes`.
+
+    What begins at a fixed clip's start or later (``near_ms`` after it) moves by
+    what the clip was made longer, its keys with it; what only ends after it is
+    made longer, unless its keys are null (titles), which stay.  Fixes and
+    things are one sorted union per timeline with running sums.
+    """
+    f = matched.filter("clip_ix is not null").select("seq_id", F.col("pos_ms").alias("_t"), F.col("more_ms").alias("_more"))
+    ask = lambda t, i: things.select("seq_id", "thing_no", F.lit(i).alias("_i"), t.alias("_t"))
+    both = ask(F.col("start_ms") - near_ms, 0).unionByName(ask(F.col("end_ms") - 1, 1)).unionByName(f, allowMissingColumns=True)
+    so_far = F.coalesce(F.sum("_more").over(W.partitionBy("seq_id").orderBy("_t").rangeBetween(W.unboundedPreceding, 0)), F.lit(0))
+    moved = both.withColumn("_m", so_far).filter("thing_no is not null").groupBy("seq_id", "thing_no").agg(F.max(F.when(F.col("_i") == 0, F.col("_m"))).alias("_a"), F.max(F.when(F.col("_i") == 1, F.col("_m"))).alias("_b"))
+    x = things.join(moved, ["seq_id", "thing_no"])
+    end = F.when(F.col("keys").isNull(), F.col("_a")).otherwise(F.greatest("_a", "_b"))
+    keys = F.transform("keys", lambda k: F.struct((k["t"] + F.col("_a")).alias("t"), k["v"].alias("v")))
+    return x.select("seq_id", "thing_no", (F.col("start_ms") + F.col("_a")).alias("start_ms"), (F.col("end_ms") + end).alias("end_ms"), keys.alias("keys"))
