@@ -151,7 +151,7 @@ def j10(t: Tables) -> DataFrame:
     c = voice_chunks(t)
     a = c.filter("chunk_no % 3 = 0").select("media_id", F.col("label").cast("string").alias("person"), F.col("start_ms").alias("a_ms"), F.col("end_ms").alias("b_ms"))
     found = speakers.anchored(c.drop("label", "dur_ms"), a)
-    return speakers.sentence_speakers(c.select("media_id", "chunk_no", F.floor(F.col("chunk_no") / 100).alias("seg_id"), "start_ms", "end_ms"), found)
+    return speakers.sentence_speakers(c.select("media_id", "chunk_no", F.floor(F.col("chunk_no") / 5).alias("seg_id"), "start_ms", "end_ms"), found)
 
 
 @query("f08_newest_names", "SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events WHERE contains(lower(event_type || '/' || user_id), 'k/1')", base=False)

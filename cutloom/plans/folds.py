@@ -59,3 +59,12 @@ SELECT * FROM (WITH RECURSIVE v AS (
 ), ch AS (SELECT media_id, seg_id, c, min(a) AS a, arg_max(e_ms, k) AS b FROM v GROUP BY ALL),
 sh AS (SELECT *, c > 1 AND c = max(c) OVER (PARTITION BY media_id, seg_id) AND b - a < 600 AS tail FROM ch), ex AS (SELECT *, lead(tail) OVER w AS t, lead(b) OVER w AS nb FROM sh WINDOW w AS (PARTITION BY media_id, seg_id ORDER BY c))
 SELECT media_id, seg_id, CAST(c AS BIGINT) AS chunk_no, a AS start_ms, CASE WHEN t THEN nb ELSE b END AS end_ms FROM ex WHERE NOT tail)""")
+
+stated("v04_picture_cuts", """, vc AS (SELECT seq_id, clip_ix, c.start_ms + t_ms - in_ms AS at_ms FROM cuts k JOIN clips c ON k.media_id = c.media_id AND t_ms BETWEEN in_ms AND out_ms
+  WHERE kind = 'video' AND NOT disabled AND c.end_ms - c.start_ms >= 800 AND t_ms - in_ms BETWEEN 120 AND c.end_ms - c.start_ms - 120),
+vk AS (SELECT seq_id, at_ms, row_number() OVER (PARTITION BY seq_id ORDER BY clip_ix, at_ms) AS k FROM vc)
+SELECT * FROM (WITH RECURSIVE f AS (
+  SELECT seq_id, k, at_ms, true AS in_, [at_ms] AS kept FROM vk WHERE k = 1
+  UNION ALL SELECT seq_id, k, at_ms, free, CASE WHEN free THEN list_append(kept, at_ms) ELSE kept END FROM (
+    SELECT n.*, f.kept, len(list_filter(f.kept, lambda y: abs(y - n.at_ms) < 200)) = 0 AS free FROM f JOIN vk n ON n.seq_id = f.seq_id AND n.k = f.k + 1)
+) SELECT seq_id, at_ms FROM f WHERE in_)""")

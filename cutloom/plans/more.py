@@ -176,8 +176,9 @@ def w11(t: Tables) -> DataFrame:
 
 
 def voice_chunks(t: Tables) -> DataFrame:
+    """Fifty vectors at a time as the chunks of a recording, so that recordings grow in number and not in size."""
     e = t.embeddings.filter("embedding is not null")
-    return e.select((F.col("vec_id") % 20).alias("media_id"), F.col("vec_id").alias("chunk_no"), (F.col("vec_id") * 1000).alias("start_ms"), (F.col("vec_id") * 1000 + 900).alias("end_ms"), F.lit(900).cast("bigint").alias("dur_ms"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    return e.select(F.floor(F.col("vec_id") / 50).alias("media_id"), F.col("vec_id").alias("chunk_no"), (F.col("vec_id") * 1000).alias("start_ms"), (F.col("vec_id") * 1000 + 900).alias("end_ms"), F.lit(900).cast("bigint").alias("dur_ms"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 
 @query("v01_speaker_clusters")
