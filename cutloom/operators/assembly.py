@@ -39,11 +39,15 @@ DIGITS = r"(\d+(?:[.,]\d+)?)\s*(minut|min\b|sekund|s\b|vte)"
 
 
 def brief_flags(brief: Column, target_s: Column) -> dict[str, Column]:
-    """What a brief asks for: no host, a teaser, and one planned without an outline, one passage, intense moments, all speakers alike."""
+    """What a brief asks for: no host, a teaser, one passage, intense moments, all speakers alike."""
     says = lambda p: F.coalesce(brief.rlike(f"(?iu){p}"), F.lit(False))
     passage = F.coalesce(target_s <= 60, F.lit(False)) & ~says(TEASER) & ~says(OVERVIEW)
-    short = F.coalesce(target_s <= TEASER_S, F.lit(False)) & says(TEASER)
-    return {"no_host": says(NO_HOST), "teaser": says(TEASER), "short_teaser": short, "passage": passage, "intense": says(INTENSE), "balance": says(BALANCE)}
+    return {"no_host": says(NO_HOST), "teaser": says(TEASER), "passage": passage, "intense": says(INTENSE), "balance": says(BALANCE)}
+
+
+def short_teaser(brief: Column, target_s: Column) -> Column:
+    """Whether a brief asks for a teaser so short that it is planned without an outline."""
+    return F.coalesce(brief.rlike(f"(?iu){TEASER}") & (target_s <= TEASER_S), F.lit(False))
 
 
 def speakers_named(briefs: DataFrame, speakers: DataFrame) -> DataFrame:

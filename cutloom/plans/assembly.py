@@ -54,7 +54,8 @@ def x11(t: Tables) -> DataFrame:
 coalesce(target_s <= 60, false) AND NOT {_says(assembly.TEASER)} AND NOT {_says(assembly.OVERVIEW)} AS passage, {_says(assembly.INTENSE)} AS intense, {_says(assembly.BALANCE)} AS balance FROM le""")
 def f10(t: Tables) -> DataFrame:
     b = briefs(t)
-    flags = assembly.brief_flags(F.col("brief"), assembly.target_length(F.col("brief")))
+    length = assembly.target_length(F.col("brief"))
+    flags = assembly.brief_flags(F.col("brief"), length) | {"short_teaser": assembly.short_teaser(F.col("brief"), length)}
     return b.select("media_id", "seg_id", *[c.alias(n) for n, c in flags.items()])
 
 
