@@ -37,6 +37,8 @@ WORD = r"[A-Za-z\x80-\x{10FFFF}]++"
 NO_WORD = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 FOUND = "array<struct<start:int,rank:int,end:int,kind:string,hit:string>>"
+#: Bits of the filter of terms, a megabyte whatever the vocabulary; it spares work and decides nothing.
+FILTER_BITS = 1 << 23
 #: Matches summed up in one go; keeps the work on texts with very many of them linear.
 STEP = 256
 
@@ -125,6 +127,19 @@ def _valid(text: Column, pattern: str, kind: str) -> Column:
     return F.transform(kept, lambda m: F.struct(m["start"], m["rank"], m["end"], m["kind"]))
 
 
+def _place(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FILTER_BITS))
+
+
+def _may_hold(terms: DataFrame, term: Column) -> Column:
+    """False only for terms that ``terms`` doesn't hold: a bit for each hash, one row of fixed size that every task reads."""
+    bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
+    some = terms.select(_place(F.col("term")).alias("p")).groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(bit).alias("b"))
+    every = terms.sparkSession.range(FILTER_BITS // 64).join(some, "id", "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")).alias("x"))
+    bits = every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]).alias("bits")).scalar()
+    return F.getbit(F.get(bits, F.shiftright(_place(term), 6).cast("int")), (_place(term) % 64).cast("int")) == 1
+
+
 def disclosing_terms(df: DataFrame, *, text: str = "text", threshold: float = 0.9, support: int = 5) -> DataFrame:
     """(term, kind, share): terms whose PMI with a kind of entity is at least ``threshold`` of its information content.
 
@@ -152,8 +167,11 @@ def disclosing_terms(df: DataFrame, *, text: str = "text", threshold: float = 0.
     kinds = both.filter("term = ''").select("kind", F.col("both").alias("of_kind"))
     words = F.array_union(F.array_distinct(F.split(F.lower("line"), NO_WORD)), F.array(F.lit("")))
     # Counted before the join, as only counts combine before a shuffle.
-    often = lines.filter("line <> ''").select("line").distinct().select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    often = written(often.join(both.select("term").distinct(), "term", "left_semi"))
+    # Terms that surely have no pairs are passed over before they are counted; most of a vocabulary is rare.
+    often = lines.filter("line <> ''").select("line").distinct().select(F.explode(words).alias("term"))
+    often = often.filter(_may_hold(both, F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
+    # An inner join: a semi join would be moved below the counts, and every word of the corpus shuffled.
+    often = written(often.join(both.select("term").distinct(), "term"))
     total = often.filter("term = ''").select(F.col("n").alias("total"))
     p_kind = F.col("of_kind") / F.col("total")
     given = F.least(F.lit(1.0), F.col("both") / F.col("n"))
