@@ -111,7 +111,7 @@ def still_shots(samples: DataFrame, durations: DataFrame, *, change10: int = 25)
             if 10 * int(np.abs(p - first).sum()) >= change10 * p.size:
                 first = p
                 starts.append(i)
-        last = np.append(starts[1:], len(pdf)) - 1
+        last = np.array([*starts[1:], len(pdf)]) - 1
         to = pdf.t_ms.to_numpy()[last] + pdf.step_ms.to_numpy()[last]
         if not pd.isna(pdf.duration_ms[0]):
             to[-1] = min(to[-1], pdf.duration_ms[0])
