@@ -149,10 +149,10 @@ SELECT id, CASE WHEN NOT regexp_matches(src, '\p{L}{2}') THEN 'ok' WHEN length(o
 def f11(t: Tables) -> DataFrame:
     i, x = F.col("seg_id"), F.col("text")
     kind = i % 5
-    out = F.when(kind == 0, F.concat(F.lit("« "), F.upper(F.replace(x, F.lit("ß"), F.lit("s"))), F.lit(" !"))).when(kind == 1, F.concat(F.concat_ws(" ", x, x, x, x), F.lit(" and more than was ever said here")))
+    out = F.when(kind == 0, F.concat(F.lit("« "), X.large(F.replace(x, F.lit("ß"), F.lit("s"))), F.lit(" !"))).when(kind == 1, F.concat(F.concat_ws(" ", x, x, x, x), F.lit(" and more than was ever said here")))
     out = out.when(kind == 2, F.concat(x, F.lit(" / x"))).when(kind == 3, F.concat(F.lit("-- "), F.lower(x), F.lit("…"))).otherwise(F.substr(x, F.lit(8)))
     number, head = F.col("media_id") * 1000 + i, F.substr(x, F.lit(1), (i % 4).cast("int"))
-    pairs = t.segments.select(number.alias("id"), x.alias("src"), out.alias("out")).unionByName(t.segments.select((-number).alias("id"), head.alias("src"), F.upper(head).alias("out")))
+    pairs = t.segments.select(number.alias("id"), x.alias("src"), out.alias("out")).unionByName(t.segments.select((-number).alias("id"), head.alias("src"), X.large(head).alias("out")))
     return planning.translation_check(pairs)
 
 

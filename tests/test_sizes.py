@@ -1,9 +1,19 @@
 """Joins that must not pass the driver, single samples, and letters that Java would spread."""
 
-from cutloom.operators import pictures
+from pyspark.sql import functions as F
+
+from cutloom.functions import text as X
+from cutloom.operators import captions, pictures
 
 
 def test_one_sample_is_a_shot(spark):
     s = spark.createDataFrame([(1, 500, 6000, [1, 2])], "media_id long, t_ms long, step_ms long, pixels array<long>")
     d = spark.createDataFrame([(1, 800)], "media_id long, duration_ms long")
     assert [tuple(r) for r in pictures.still_shots(s, d).collect()] == [(1, 1, 500, 800, 1)]
+
+
+def test_large_letters_stay_single(spark):
+    x = spark.createDataFrame([("ßaé ﬁ ŉ ᾳ",), ("",), (None,)], "t string").select(X.large(F.col("t"))).collect()
+    assert [r[0] for r in x] == ["ẞAÉ ﬁ ŉ ᾼ", "", None]
+    c = spark.createDataFrame([(1, 1, 1, "ß als")], "seq_id long, ord long, clip_ix long, text string")
+    assert captions.capitalised(c).first()["text"] == "ẞ als"
