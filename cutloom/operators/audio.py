@@ -72,7 +72,7 @@ def offsets(pairs: DataFrame, frames: DataFrame, *, max_lag: int, guard: int) ->
                 out.append((r.ref_id, r.other_id, int(lag[k]), float(allowed[k] / second) if second > 0 else float("inf")))
             yield pd.DataFrame(out, columns=["ref_id", "other_id", "lag", "confidence"])
 
-    joined = pairs.join(a, "ref_id").join(b, "other_id").select("ref_id", "other_id", "a", "b")
+    joined = pairs.join(a.hint("merge"), "ref_id").join(b.hint("merge"), "other_id").select("ref_id", "other_id", "a", "b")
     return joined.mapInPandas(run, "ref_id bigint, other_id bigint, lag bigint, confidence double")
 
 

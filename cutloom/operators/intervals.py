@@ -4,6 +4,10 @@ Overlap joins never compare everything with everything: both sides are dealt to
 time buckets of their key, joined on (key, bucket), and a pair is kept only in
 the first bucket the two share.  Searches for a next or previous event are one
 sorted union and a running value.
+
+Spark's estimate of a table's size doesn't see what ``explode`` adds, so a side
+that is dealt to buckets or a grid would be broadcast through the driver where
+the table it comes from is small: such joins are asked to merge.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ def _buckets(start: Column, end: Column, size: int) -> Column:
 
 
 def overlap_join(
-    left: DataFrame, right: DataFrame, on: list[str], l_start: str, l_end: str, r_start: str, r_end: str, *, bucket_ms: int = BUCKET_MS, how: str = "inner", slack_ms: int = 0
+    left: DataFrame, right: DataFrame, on: list[str], l_start: str, l_end: str, r_start: str, r_end: str, *, bucket_ms: int = BUCKET_MS, how: str = "inner", slack_ms: int = 0, by: str = "merge"
 ) -> DataFrame:
     """Pairs with equal ``on`` whose closed intervals, widened by ``slack_ms``, meet.
 
     Columns of the two sides must differ but for ``on``.  ``how`` is inner or
     left; left rows without a partner then have nulls.  Null bounds meet nothing.
+    ``by`` is how the join is done: shuffle_hash, with a small right side, spares
+    the sort of wide left rows.
     """
     l = left.withColumn("_lb", F.explode_outer(_buckets(F.col(l_start) - slack_ms, F.col(l_end) + slack_ms, bucket_ms)))
     r = right.withColumn("_rb", F.explode(_buckets(F.col(r_start), F.col(r_end), bucket_ms)))
@@ -35,7 +41,7 @@ def overlap_join(
     cond = (F.col("_lb") == F.col("_rb")) & meets & (F.col("_lb") == first)
     for c in on:
         cond = (l[c] == keyed[f"_{c}"]) & cond
-    pairs = l.join(keyed, cond, "inner").drop("_lb", "_rb", *[f"_{c}" for c in on])
+    pairs = l.join(keyed.hint(by), cond, "inner").drop("_lb", "_rb", *[f"_{c}" for c in on])
     if how == "inner":
         return pairs
     rest = left.join(pairs.select(*left.columns).distinct(), left.columns, "left_anti") if not on else _unmatched(left, pairs)

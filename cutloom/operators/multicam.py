@@ -244,7 +244,7 @@ def grid_accuracy(truth: DataFrame, guess: DataFrame, step_ms: int = 100) -> Dat
         grid = df.filter(last >= first).select("media_id", F.explode(F.sequence(first, last)).alias("k"), "label")
         return grid.groupBy("media_id", "k").agg(F.min("label").alias(name), F.count_distinct("label").alias("_n")).filter("_n = 1").drop("_n")
 
-    both = sampled(truth, "t").join(sampled(guess, "g"), ["media_id", "k"], "left")
+    both = sampled(truth, "t").join(sampled(guess, "g").hint("merge"), ["media_id", "k"], "left")
     met = both.groupBy("media_id", "g", "t").agg(F.count("*").alias("n"))
     best = F.row_number().over(W.partitionBy("media_id", "g").orderBy(F.desc("n"), "t")) == 1
     return met.withColumn("_h", F.when(best & F.col("g").isNotNull(), F.col("n")).otherwise(0)).groupBy("media_id").agg(F.sum("n").alias("n"), F.sum("_h").alias("hits"))
@@ -269,9 +269,9 @@ def camera_accuracy(truth: DataFrame, runs: DataFrame, cameras: dict[str, int],
     own = F.lit(-1)
     for speaker, cam in cameras.items():
         own = F.when(F.col("_s") == speaker, cam).otherwise(own)
-    want = said.join(close, ["media_id", "k"], "left_anti").select("media_id", "k", F.when(F.col("_n") >= 2, wide).otherwise(own).alias("_want"))
+    want = said.join(close.hint("merge"), ["media_id", "k"], "left_anti").select("media_id", "k", F.when(F.col("_n") >= 2, wide).otherwise(own).alias("_want"))
     shown = points(runs, F.col("start_ms"), F.col("end_ms"), "cam", "cutaway")
-    seen = want.join(shown, ["media_id", "k"], "left").filter(~F.coalesce("cutaway", F.lit(False)))
+    seen = want.join(shown.hint("merge"), ["media_id", "k"], "left").filter(~F.coalesce("cutaway", F.lit(False)))
     return seen.groupBy("media_id").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("cam") == F.col("_want"), F.lit(False)).cast("bigint")).alias("hits"))
 
 

@@ -163,7 +163,7 @@ def seat_energies(spans: DataFrame, motion: DataFrame, seats: DataFrame, *, half
     per frame before the shuffle by span.
     """
     last = spans.withColumn("_last", F.col("to_frame") - 1).filter("_last >= from_frame")
-    met = intervals.overlap_join(last, motion.withColumn("_f", F.col("frame_no")), ["media_id"], "from_frame", "_last", "_f", "_f")
+    met = intervals.overlap_join(motion.withColumn("_f", F.col("frame_no")), last, ["media_id"], "_f", "_f", "from_frame", "_last", by="shuffle_hash")
     band = _band(F.col("row"), F.col("x"), half, cell)
     met = met.join(seats, "set_id").select("span_id", "speaker", "frame_no", F.aggregate(band, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("_s"), F.size(band).alias("_n"))
     return met.groupBy("span_id", "speaker").agg((F.sum("_s") / F.sum("_n")).alias("energy"), F.count_distinct("frame_no").alias("frames"))

@@ -143,12 +143,19 @@ frames AS (SELECT f.media_id, f.frame_no, CAST(CASE WHEN l.frame_no IS NULL THEN
 
 
 def frames(t: Tables) -> DataFrame:
-    w = t.words
-    steps = lambda a, b: F.explode(F.sequence(a, b)).alias("frame_no")
-    every = w.groupBy("media_id").agg(F.floor(F.max("e_ms") / 50).alias("n")).select("media_id", steps(F.lit(0).cast("bigint"), F.col("n")))
-    loud = w.select("media_id", steps(F.floor(F.col("s_ms") / 50), F.floor(F.col("e_ms") / 50))).distinct().withColumn("_l", F.lit(True))
-    rms = F.when(F.col("_l"), 2000 + (F.col("frame_no") * 37) % 900).otherwise(40 + (F.col("frame_no") * 13) % 30)
-    return every.join(loud, ["media_id", "frame_no"], "left").select("media_id", "frame_no", rms.cast("double").alias("rms"))
+    """Frames of 50 ms of every recording, loud where a word is heard.
+
+    A word makes the frames after those of the words before it, up to its own
+    last one, so each is made once, without a join of frames.
+    """
+    from pyspark.sql import Window as W
+
+    first, last = F.floor(F.col("s_ms") / 50), F.floor(F.col("e_ms") / 50)
+    before = F.max(last).over(W.partitionBy("media_id").orderBy("seg_id", "pos").rowsBetween(W.unboundedPreceding, -1))
+    w = t.words.select("media_id", first.alias("_a"), last.alias("_b"), (F.coalesce(before, F.lit(-1)) + 1).alias("_new")).filter("_b >= _new")
+    f = w.select("media_id", "_a", F.explode(F.sequence("_new", "_b")).alias("frame_no"))
+    rms = F.when(F.col("frame_no") >= F.col("_a"), 2000 + (F.col("frame_no") * 37) % 900).otherwise(40 + (F.col("frame_no") * 13) % 30)
+    return f.select("media_id", "frame_no", rms.cast("double").alias("rms"))
 
 
 @query("n02_onsets", FRAMES + """, d AS (SELECT media_id, frame_no, greatest(0.0, coalesce(ln(1 + rms * 100) - lag(ln(1 + rms * 100)) OVER (PARTITION BY media_id ORDER BY frame_no), 0.0)) AS d FROM frames)

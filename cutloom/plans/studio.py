@@ -58,7 +58,7 @@ def w21(t: Tables) -> DataFrame:
     k = key_frames(t)
     d = t.segments.groupBy("media_id").agg((F.max("end_ms") + 100).alias("duration_ms"))
     chosen = pictures.sampled(k.select("media_id", "t_ms"), d.select("media_id", pictures.sample_step(F.col("duration_ms")).alias("step_ms")))
-    return pictures.still_shots(chosen.join(k, ["media_id", "t_ms"]), d)
+    return pictures.still_shots(chosen.join(k.hint("merge"), ["media_id", "t_ms"]), d)
 
 
 HEADS = """, de AS (SELECT media_id, s_ms // 500 * 500 AS t, (seg_id * 97 + pos * 41) % 1280 AS x, (pos * 53) % 720 AS y, 22 + length(w) * 7 AS wd FROM words),
@@ -102,7 +102,7 @@ SELECT * FROM (WITH RECURSIVE h AS (
 @query("v05_moving_speakers", MOTION)
 def v05(t: Tables) -> DataFrame:
     i = F.col("seg_id")
-    row = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: ((F.floor(F.col("frame_no") / 40) * 7 + j * 13 + F.col("rms").cast("bigint")) % 40).cast("bigint"))
+    row = F.array(*[((F.floor(F.col("frame_no") / 40) * 7 + j * 13 + F.col("rms").cast("bigint")) % 40).cast("bigint") for j in range(32)])
     motion = frames(t).select("media_id", "frame_no", row.alias("row"))
     seats = t.spark.createDataFrame(SEATS, "set_id int, speaker string, x int")
     spans = t.segments.select(

@@ -1,9 +1,41 @@
 """Joins that must not pass the driver, single samples, and letters that Java would spread."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from cutloom import plans
 from cutloom.functions import text as X
-from cutloom.operators import captions, pictures
+from cutloom.operators import captions, multicam, pictures
+from cutloom.plans import media
+from cutloom.plans.registry import Tables
+
+
+def broadcasts(df) -> int:
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+@pytest.mark.parametrize("name", ["n03_offsets", "n04_silences", "n07_sentence_pauses"])
+def test_frames_never_pass_the_driver(spark, sf_dir, name):
+    text = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    for line in text.splitlines():
+        if "Join" in line and ("frame_no" in line or "_lb" in line or "ref_id" in line):
+            assert "Broadcast" not in line, line
+
+
+def test_frames_are_made_without_joins(spark, sf_dir):
+    f = media.frames(Tables(spark, sf_dir))
+    assert "Join" not in f._jdf.queryExecution().sparkPlan().toString()
+    assert f.count() == f.select("media_id", "frame_no").distinct().count()
+
+
+def test_grids_never_pass_the_driver(spark):
+    t = spark.createDataFrame([(1, 0, 3000, "a")], "media_id long, start_ms long, end_ms long, label string")
+    assert broadcasts(multicam.grid_accuracy(t, t)) == 0
+    turns = t.select("media_id", F.col("start_ms").alias("t_start"), F.col("end_ms").alias("t_end"), F.col("label").alias("speaker"))
+    runs = t.select("media_id", F.lit(1).alias("cam"), "start_ms", "end_ms", F.lit(False).alias("cutaway"))
+    seen = multicam.camera_accuracy(turns, runs, {"a": 1})
+    assert broadcasts(seen) == 0
+    assert [tuple(r) for r in seen.collect()] == [(1, 17, 17)]
 
 
 def test_one_sample_is_a_shot(spark):
