@@ -49,3 +49,8 @@ def test_large_letters_stay_single(spark):
     assert [r[0] for r in x] == ["ẞAÉ ﬁ ŉ ᾼ", "", None]
     c = spark.createDataFrame([(1, 1, 1, "ß als")], "seq_id long, ord long, clip_ix long, text string")
     assert captions.capitalised(c).first()["text"] == "ẞ als"
+
+
+@pytest.mark.parametrize("name", ["j21_grid_accuracy", "m07_camera_accuracy"])
+def test_grid_queries_never_pass_the_driver(spark, sf_dir, name):
+    assert broadcasts(plans.QUERIES[name](spark, sf_dir)) == 0
