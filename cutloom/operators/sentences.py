@@ -78,21 +78,27 @@ def merge_in_order(ranges: DataFrame, gap_ms: int = 400) -> DataFrame:
     """Consecutive ranges of a plan united in their order: plan_id, ord, in_ms, out_ms, ids.
 
     A range joins the one being built if it doesn't begin before it and the gap
-    is small; what is built grows, so this is a fold over the plan's ranges.
+    is small; what is built grows, so this is a fold over the plan's ranges,
+    which come as arrays, many plans to a batch.
     """
 
-    def fold(key, pdf):
-        out = []
-        for r in pdf.sort_values("ord").itertuples():
-            if out and r.in_ms >= out[-1][2] and r.in_ms - out[-1][3] <= gap_ms:
-                out[-1][3] = max(out[-1][3], r.out_ms)
-                out[-1][4].append(r.seg_id)
-            else:
-                out.append([key[0], len(out) + 1, r.in_ms, r.out_ms, [r.seg_id]])
-        return pd.DataFrame(out, columns=["plan_id", "ord", "in_ms", "out_ms", "ids"])
-
-    cols = ranges.select("plan_id", "ord", "seg_id", "in_ms", "out_ms")
-    return cols.groupBy("plan_id").applyInPandas(fold, "plan_id bigint, ord bigint, in_ms bigint, out_ms bigint, ids array<bigint>")
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for plan_id, ids, ins, outs in zip(pdf.plan_id, pdf.ids, pdf.ins, pdf.outs, strict=True):
+                out: list[list] = []
+                for seg_id, in_ms, out_ms in zip(ids.tolist(), ins.tolist(), outs.tolist(), strict=True):
+                    if out and in_ms >= out[-1][2] and in_ms - out[-1][3] <= gap_ms:
+                        out[-1][3] = max(out[-1][3], out_ms)
+                        out[-1][4].append(seg_id)
+                    else:
+                        out.append([plan_id, len(out) + 1, in_ms, out_ms, [seg_id]])
+                rows += out
+            yield pd.DataFrame(rows, columns=["plan_id", "ord", "in_ms", "out_ms", "ids"])
+
+    per = ranges.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("ord", "seg_id", "in_ms", "out_ms"))).alias("_r"))
+    per = per.select("plan_id", F.col("_r.seg_id").alias("ids"), F.col("_r.in_ms").alias("ins"), F.col("_r.out_ms").alias("outs"))
+    return per.mapInPandas(run, "plan_id bigint, ord bigint, in_ms bigint, out_ms bigint, ids array<bigint>")
 
 
 def suspicious_windows(words: DataFrame, media: DataFrame, flagged: DataFrame, gap_ms: int = 6000, pad_ms: int = 500, join_ms: int = 1000, least_ms: int = 1000) -> DataFrame:

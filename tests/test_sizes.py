@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cutloom import plans
 from cutloom.functions import text as X
-from cutloom.operators import captions, multicam, pictures
+from cutloom.operators import captions, multicam, pictures, sentences, speakers
 from cutloom.plans import media
 from cutloom.plans.registry import Tables
 
@@ -54,3 +54,14 @@ def test_large_letters_stay_single(spark):
 @pytest.mark.parametrize("name", ["j21_grid_accuracy", "m07_camera_accuracy"])
 def test_grid_queries_never_pass_the_driver(spark, sf_dir, name):
     assert broadcasts(plans.QUERIES[name](spark, sf_dir)) == 0
+
+
+def test_folds_take_many_groups_at_once(spark):
+    words = spark.createDataFrame([(1, 1, 0, 2600), (1, 1, 2700, 3000), (1, 2, 4000, 4100), (2, 1, 10, 20)], "media_id long, seg_id long, s_ms long, e_ms long")
+    chunks = speakers.voice_chunks(words)
+    assert sorted(tuple(r) for r in chunks.collect()) == [(1, 1, 1, 0, 3000), (1, 2, 1, 4000, 4100), (2, 1, 1, 10, 20)]
+    ranges = spark.createDataFrame([(1, 2, 8, 500, 700), (1, 1, 7, 0, 400), (1, 3, 2, 2000, 2200)], "plan_id long, ord long, seg_id long, in_ms long, out_ms long")
+    merged = sentences.merge_in_order(ranges)
+    assert sorted(tuple(r) for r in merged.collect()) == [(1, 1, 0, 700, [7, 8]), (1, 2, 2000, 2200, [2])]
+    for df in (chunks, merged):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().sparkPlan().toString()
