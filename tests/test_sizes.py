@@ -72,3 +72,17 @@ def test_cues_take_many_clips_at_once(spark):
     made = captions.cues(spark.createDataFrame(rows, "seq_id long, clip_ix long, t0_ms long, t1_ms long, w string, spk string"))
     assert "FlatMapGroups" not in made._jdf.queryExecution().sparkPlan().toString()
     assert sorted(tuple(r) for r in made.select("seq_id", "ord", "text", "clip_ix").collect()) == [(1, 1, "Ano.", 1), (1, 2, "Dnes", 1), (1, 3, "ne", 2), (2, 1, "x", 1)]
+
+
+def made(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sentences_are_made_without_their_words(spark, tmp_path):
+    rows = [(1, 0, "user", "a b. c"), (1, 0, "user", "a b. c"), (1, 1, "system", "d  e\nf."), (1, None, "user", "n"), (None, 0, None, "q "), (2, 0, "user", " "), (2, 1, "user", None), (2, 2, "user", "x. " * 70)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert "Generate" not in made(t.segments)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
+    plain = t.words.groupBy("media_id", "seg_id").agg(F.min("s_ms"), F.max("e_ms"), text, F.min("spk"), F.count("*"))
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, t.segments.collect()), key=str)
