@@ -20,10 +20,10 @@ def durations(words: DataFrame, tail_ms: int = 1500) -> DataFrame:
 def pauses(words: DataFrame, media: DataFrame, min_pause_ms: int = 1000) -> DataFrame:
     """Silence of at least ``min_pause_ms`` between words, before the first and after the last: media_id, start_ms, end_ms."""
     w = W.partitionBy("media_id").orderBy("s_ms", "e_ms")
-    inner = words.select("media_id", F.lag("e_ms", 1, 0).over(w).alias("start_ms"), F.col("s_ms").alias("end_ms"))
-    tail = words.groupBy("media_id").agg(F.max_by("e_ms", F.struct("s_ms", "e_ms")).alias("start_ms")).join(media, "media_id")
-    both = inner.unionByName(tail.select("media_id", "start_ms", F.col("duration_ms").alias("end_ms")))
-    return both.filter(F.col("end_ms") - F.col("start_ms") >= min_pause_ms)
+    gaps = words.select("media_id", F.lag("e_ms", 1, 0).over(w).alias("start_ms"), F.col("s_ms").alias("end_ms"), F.when(F.lead(F.lit(True)).over(w).isNull(), F.col("e_ms")).alias("_tail"))
+    few = gaps.filter((F.col("end_ms") - F.col("start_ms") >= min_pause_ms) | F.col("_tail").isNotNull()).join(media.select("media_id", "duration_ms"), "media_id", "left")
+    both = F.array(F.struct("start_ms", "end_ms"), F.struct(F.col("_tail").alias("start_ms"), F.col("duration_ms").alias("end_ms")))
+    return few.select("media_id", F.inline(both)).filter(F.col("end_ms") - F.col("start_ms") >= min_pause_ms)
 
 
 def speech_islands(words: DataFrame, min_pause_ms: int = 700) -> DataFrame:

@@ -86,3 +86,11 @@ def test_sentences_are_made_without_their_words(spark, tmp_path):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
     plain = t.words.groupBy("media_id", "seg_id").agg(F.min("s_ms"), F.max("e_ms"), text, F.min("spk"), F.count("*"))
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, t.segments.collect()), key=str)
+
+
+def test_pauses_make_words_once(spark, sf_dir):
+    assert made(plans.QUERIES["w01_pauses"](spark, sf_dir)).count("Generate explode") + made(plans.QUERIES["w01_pauses"](spark, sf_dir)).count("Generate posexplode") == 1
+
+
+def test_durations_make_no_words(spark, sf_dir):
+    assert made(plans.QUERIES["w02_remove_pauses"](spark, sf_dir)).count("Generate posexplode") == 3
