@@ -67,51 +67,54 @@ def word_alignment(pairs: DataFrame) -> DataFrame:
     return pairs.select("media_id", "ref", "hyp").mapInPandas(run, "media_id bigint, n_ref bigint, errors bigint")
 
 
-def _codes(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    code: dict[str, int] = {}
-    return tuple(np.array([code.setdefault(w, len(code)) for w in x], "i4") for x in (ref, hyp))
-
-
 def trace(ref: list[str], hyp: list[str]) -> tuple[int, list[tuple[int, int]]]:
     """The edit distance of two lists of words, and the pairs of places that its path matches.
 
     From the end the path goes over a match where it can, else past a word of
-    the reference, else past one of the other, else over a replacement.  Only
-    every so many rows of the table are kept; those between are filled again
-    when the path comes to them, so that memory grows with the words times
-    their root.
+    the reference, else past one of the other, else over a replacement.  A row
+    of the table is two numbers with a bit for each word of ``hyp``: where it
+    rises and where it falls by one (Myers).  Only every so many rows are kept;
+    those between are filled again when the path comes to them.
     """
-    r, h = _codes(ref, hyp)
-    place = np.arange(h.size + 1, dtype="i4")
-
-    def following(row: np.ndarray, i: int) -> np.ndarray:
-        best = np.minimum(row[1:] + 1, row[:-1] + (h != r[i - 1]))
-        return np.minimum.accumulate(np.concatenate([np.array([i], "i4"), best]) - place) + place
-
-    step = max(1, int(r.size**0.5))
-    row, kept = place, [place]
-    for i in range(1, r.size + 1):
-        row = following(row, i)
+    full, places = (1 << len(hyp)) - 1, {}
+    for j, w in enumerate(hyp):
+        places[w] = places.get(w, 0) | 1 << j
+
+    def following(up: int, down: int, w: str) -> tuple[int, int, int]:
+        """The next row's rises and falls, and where it is one above the row before."""
+        same = places.get(w, 0)
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        above, below = down | (full & ~(level | up)), level & up
+        shifted = (above << 1 | 1) & full
+        return (below << 1 | ~(level | shifted)) & full, shifted & level, above
+
+    step = max(1, int(len(ref) ** 0.5))
+    row = (full, 0)
+    kept = [row]
+    for i, w in enumerate(ref, 1):
+        row = following(*row, w)[:2]
         if i % step == 0:
             kept.append(row)
-    i, j, pairs = r.size, h.size, []
+    distance = len(ref) + row[0].bit_count() - row[1].bit_count()
+    i, j, pairs = len(ref), len(hyp), []
     while i and j:
         start = (i - 1) // step * step
-        rows = [kept[start // step]]
-        for k in range(start + 1, i + 1):
-            rows.append(following(rows[-1], k))
+        (up, down), rows = kept[start // step], []
+        for w in ref[start:i]:
+            up, down, above = following(up, down, w)
+            rows.append((above, up))
         while i > start and j:
-            here, above = rows[i - start], rows[i - start - 1]
-            if r[i - 1] == h[j - 1] and here[j] == above[j - 1]:
+            above, up = rows[i - start - 1]
+            if ref[i - 1] == hyp[j - 1]:
                 i, j = i - 1, j - 1
                 pairs.append((i, j))
-            elif here[j] == above[j] + 1:
+            elif above >> (j - 1) & 1:
                 i -= 1
-            elif here[j] == here[j - 1] + 1:
+            elif up >> (j - 1) & 1:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-    return int(row[-1]), pairs[::-1]
+    return distance, pairs[::-1]
 
 
 def word_deviations(ref: DataFrame, hyp: DataFrame) -> DataFrame:
