@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cutloom.llm import embdedup, topk
+from cutloom.llm.common import salted
 
 SCHEMA = "vec_id long, embedding array<double>, label int, score string"
 INF, NAN = float("inf"), float("nan")
@@ -98,3 +100,20 @@ def test_error_bound_holds():
     for threshold in (-0.5, 0.0, 0.3):
         a, b = t.possible(t, threshold)
         assert set(zip(*np.nonzero(u @ u.T >= threshold), strict=True)) <= set(zip(a, b, strict=True))
+
+
+def test_names_dealt_to_parts_never_pass_the_driver(spark):
+    rows = spark.range(40).select("id", (F.col("id") % 3).alias("k"))
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
+    joined = salted(rows, names, "k")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.name) for r in joined.collect()) == [(i, "ab"[i % 3]) for i in range(40) if i % 3 < 2]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_many_labels(spark, monkeypatch, few):
+    # A label for every pair of vectors, labels' sizes joined and broadcast.
+    monkeypatch.setattr(embdedup, "FEW", few)
+    rows = [(i, [1.0, i // 2 + 1.0, float(i % 2) / 100], i // 2) for i in range(60)]
+    got = embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 1, i // 2 * 2) for i in range(60)]
