@@ -148,6 +148,10 @@ def head_positions(items: DataFrame, detections: DataFrame, *, tolerance: int =
     return taken.groupBy("item_id").agg(middle("h.x").alias("x"), middle("h.y").alias("y"), F.count("*").cast("int").alias("n"))
 
 
+#: So many frames have one list of the spans they may be in.
+FRAMES = 256
+
+
 def _band(motion: Column, x: Column, half: int, cell: int) -> Column:
     """The cells of a motion row around a seat."""
     lo = F.greatest(((x - half) / cell).cast("int"), F.lit(0))
@@ -159,19 +163,35 @@ def seat_energies(spans: DataFrame, motion: DataFrame, seats: DataFrame, *, half
     """(span_id, speaker, energy, frames): mean motion around every seat (set_id, speaker, x) in spans (span_id, set_id, media_id, from_frame, to_frame).
 
     ``motion`` is (media_id, frame_no, row: an array over the picture's width in
-    cells of ``cell``).  Frames meet spans in buckets; sums of a band are taken
-    per frame before the shuffle by span.
+    cells of ``cell``), one row per frame.  Rows are wide, so they stay in the
+    partition of their recording: each looks its spans up in one array of the
+    recording's, a list for every :data:`FRAMES` frames, and only sums by span
+    are shuffled.
     """
-    last = spans.withColumn("_last", F.col("to_frame") - 1).filter("_last >= from_frame")
-    met = intervals.overlap_join(motion.withColumn("_f", F.col("frame_no")), last, ["media_id"], "_f", "_f", "from_frame", "_last", by="shuffle_hash")
+    last = spans.withColumn("_last", F.col("to_frame") - 1).filter("_last >= from_frame and span_id is not null")
+    s = F.struct("from_frame", "_last", "span_id", "set_id")
+    first, until = F.floor(F.col("from_frame") / FRAMES), F.floor(F.col("_last") / FRAMES)
+    lists = last.select("media_id", F.explode(F.sequence(first, until)).alias("_b"), s.alias("_s"))
+    ends = last.groupBy("media_id").agg(F.min(first).alias("_lo"), F.max(until).alias("_hi"))
+    empty = ends.select("media_id", F.explode(F.sequence("_lo", "_hi")).alias("_b"), F.lit(None).cast(lists.schema["_s"].dataType).alias("_s"))
+    per = lists.unionByName(empty).groupBy("media_id", "_b").agg(F.collect_list("_s").alias("_l"))
+    per = per.groupBy("media_id").agg(F.min("_b").alias("_lo"), F.array_sort(F.collect_list(F.struct("_b", "_l"))).alias("_by"))
+    f = F.col("frame_no")
+    own = F.get("_by", (F.floor(f / FRAMES) - F.col("_lo")).cast("int"))["_l"]
+    # The list is taken where the join finds it, so that no frame carries all of a recording's.
+    met = motion.join(per.hint("shuffle_hash"), "media_id").select("row", "frame_no", own.alias("_l"))
+    met = met.select("row", F.explode(F.filter("_l", lambda x: (x["from_frame"] <= f) & (f <= x["_last"]))).alias("_s")).select("row", "_s.span_id", "_s.set_id")
+    # One row per seat; a frame counts once, whatever places a speaker has.
+    places = seats.filter("speaker is not null").groupBy("set_id", "speaker").agg(F.collect_list("x").alias("_x")).select("set_id", "speaker", F.posexplode("_x").alias("_k", "x"))
     band = _band(F.col("row"), F.col("x"), half, cell)
-    met = met.join(seats, "set_id").select("span_id", "speaker", "frame_no", F.aggregate(band, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("_s"), F.size(band).alias("_n"))
-    return met.groupBy("span_id", "speaker").agg((F.sum("_s") / F.sum("_n")).alias("energy"), F.count_distinct("frame_no").alias("frames"))
+    met = met.join(F.broadcast(places), "set_id").select("span_id", "speaker", "_k", F.aggregate(band, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("_s"), F.size(band).alias("_n"))
+    return met.groupBy("span_id", "speaker").agg((F.sum("_s") / F.sum("_n")).alias("energy"), F.count_if(F.col("_k") == 0).alias("frames"))
 
 
 def baselines(energies: DataFrame, wide: DataFrame) -> DataFrame:
     """(set_id, speaker, base): a seat's usual motion, its mean energy over wide spans (span_id, set_id)."""
-    return energies.join(wide, "span_id").groupBy("set_id", "speaker").agg((F.avg("energy") + 1e-3).alias("base"))
+    # All energies have frames: asked for here, too, the sums by span are the same as in moving_speakers and made once.
+    return energies.filter("frames > 0").join(wide, "span_id").groupBy("set_id", "speaker").agg((F.avg("energy") + 1e-3).alias("base"))
 
 
 def moving_speakers(
@@ -188,8 +208,8 @@ def moving_speakers(
     stays is what was decided before, so the last clear decision is carried
     forward; a seat that is missing in between ends it.
     """
-    seated = seats.select("set_id", F.col("speaker").alias("_who"))
-    s = spans.join(seats.groupBy("set_id").agg(F.sort_array(F.collect_set("speaker")).alias("_seats")), "set_id")
+    seated = F.broadcast(seats.select("set_id", F.col("speaker").alias("_who")))  # one row per seat
+    s = spans.join(F.broadcast(seats.groupBy("set_id").agg(F.sort_array(F.collect_set("speaker")).alias("_seats"))), "set_id")
     presenter = F.when(F.array_contains("_seats", F.col("presenter")), F.col("presenter")).otherwise(F.col("_seats")[0])
     s = s.withColumn("_pr", presenter)
     e = s.join(seated, "set_id").join(energies.withColumnRenamed("speaker", "_who"), ["span_id", "_who"], "left").join(base.withColumnRenamed("speaker", "_who"), ["set_id", "_who"], "left")

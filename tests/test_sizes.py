@@ -98,3 +98,27 @@ def test_durations_make_no_words(spark, sf_dir):
 
 def test_plans_are_snapped_many_at_once(spark, sf_dir):
     assert "FlatMapGroups" not in made(plans.QUERIES["p09_snapped_to_pauses"](spark, sf_dir))
+
+
+def test_motion_stays_where_it_is(spark, sf_dir):
+    # Neither wide frames nor their numbers are shuffled, only sums by span; the one broadcast side is the seats'.
+    text = plans.QUERIES["v05_moving_speakers"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in text.splitlines() if "Exchange" in line and ("frame_no" in line or "_lb" in line)]
+    assert not [line for line in text.splitlines() if "BroadcastHashJoin" in line and "set_id" in line and "BuildLeft" in line]
+
+
+def test_energies_of_long_and_overlapping_spans(spark, monkeypatch):
+    monkeypatch.setattr(pictures, "FRAMES", 8)
+    motion = {(m, f): [(f * 7 + m + j) % 11 for j in range(20)] for m in (1, 2) for f in range(-20, 60)}
+    spans = [(1, 0, 1, -13, 41), (2, 0, 1, 0, 8), (3, 1, 1, 7, 9), (4, 1, 2, 30, 400), (5, 0, 2, 5, 5), (6, 7, 2, 0, 9), (7, 0, 3, 0, 9)]
+    seats = [(0, "A", 100), (0, "B", 600), (1, "A", 300)]
+    want = {}
+    for span, s, m, a, b in spans:
+        for q, who, x in seats:
+            met = [motion[m, f][max(int((x - 140) / 40), 0) : min(int((x + 140) / 40) + 1, 20)] for f in range(a, b) if (m, f) in motion]
+            if q == s and met:
+                want[span, who] = (sum(map(sum, met)) / sum(map(len, met)), len(met))
+    mo = spark.createDataFrame([(m, f, r) for (m, f), r in motion.items()], "media_id long, frame_no long, row array<bigint>")
+    sp = spark.createDataFrame(spans, "span_id long, set_id int, media_id long, from_frame long, to_frame long")
+    got = pictures.seat_energies(sp, mo, spark.createDataFrame(seats, "set_id int, speaker string, x int")).collect()
+    assert {(r.span_id, r.speaker): (r.energy, r.frames) for r in got} == want
